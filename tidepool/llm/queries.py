@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe
 from .cluster import cut
 from .mixing import mix_sources, words_in
 
@@ -61,8 +62,18 @@ FROM joined
 """
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), _vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_source_mixing": op1_source_mixing}
+    return {"op1_source_mixing": op1_source_mixing, "op3_bpe": op3_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
