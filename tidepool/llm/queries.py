@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, fingerprint, jaccard, quality, rules, toxicity
 from .cluster import cut
 from .mixing import mix_sources, words_in
 
@@ -15,6 +15,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _remainder(by: int, value: int) -> Column:
+    """Whether crc32 of the id's decimal text leaves value; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by == value, F.lit(False))
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taken: words that the mix takes of each document, repeats counted."""
     docs = _documents(spark, sf_dir)
@@ -68,12 +77,56 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is learned from every labelled document's statistics; the statistics are computed once."""
+    stats = cut(rules.text_statistics(_documents(spark, sf_dir).select("doc_id", "text")))
+    labels = _labels(spark, sf_dir).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    found = rules.learn(stats.join(labels, "doc_id"), label_col="quality")
+    failed = rules.base_failed()
+    return stats.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & (rules.verdict(found) == 0)).alias("kept"),
+        rules.verdict(found).alias("rule"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), _vocabulary())
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held = _remainder(5, 0)
+    model = quality.train(docs, _labels(spark, sf_dir), ~held)
+    scored = quality.score(docs, model, out_col="score")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held = _remainder(4, 2)
+    model = toxicity.train(docs, _labels(spark, sf_dir), ~held)
+    scored = toxicity.score(docs, model, out_col="score")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_source_mixing": op1_source_mixing, "op3_bpe": op3_bpe}
+    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op7_ngram_jaccard, op8_quality_classifier, op10_toxicity]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
