@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .cluster import cut
+from .cluster import cut, discard
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,8 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("label", "near").alias("label"))
         far = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = cut(step.join(far, "label").select("node", F.col("far").alias("label")))
-        now = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("s")).first()["s"]
+        new = cut(step.join(far, "label").select("node", F.col("far").alias("label")))
+        now = new.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("s")).first()["s"]
+        discard(labels)
+        labels = new
         if now == state:
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
         state = now
