@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .cluster import cut
 from .words import Slice, slices
 
 #: (slice) -> (document within the slice, 64-bit term hash), repeats allowed
@@ -23,29 +25,6 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, train: Colum
     return rows.orderBy(F.xxhash64("__id"), "__id").limit(limit)
 
 
-def collect_terms(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, terms: Terms) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct term hashes and the label of each sampled document. The sample's limit bounds both what is broadcast and what comes back."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = rows.join(F.broadcast(sample), "__id").select("__id", "__label", "__text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column(2)):
-                docs_, hashes = terms(part)
-                n = part.last - part.first
-                order = np.argsort(docs_, kind="stable")
-                hashes, bounds = hashes[order], np.searchsorted(docs_[order], np.arange(n + 1))
-                blobs = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, n), batch.column(1).slice(part.first, n), pa.array(blobs, pa.binary())],
-                    names=["id", "label", "terms"],
-                )
-
-    kind = rows.schema["__id"].dataType.simpleString()
-    table = rows.mapInArrow(run, f"id {kind}, label int, terms binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    return [np.frombuffer(x.as_py(), np.uint64) for x in table["terms"]], np.array(table["label"].to_pylist(), np.int64)
-
-
 class Lookup:
     """Positions of known hashes: a small bit table first, then a binary search of what passes it."""
 
@@ -65,34 +44,86 @@ class Lookup:
         return pairs // len(self.known), pairs % len(self.known)
 
 
-def select_terms(rows: list[np.ndarray], labels: np.ndarray, least: int, most: int, strength_least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of at least `least` documents and a chi-squared of strength_least, the `most` that depend most on the label: (hashes, positive and negative documents)."""
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    every = np.concatenate(rows)
-    sizes = [len(r) for r in rows]
-    known, inverse = np.unique(every, return_inverse=True)
-    positive = np.bincount(inverse, weights=np.repeat(labels, sizes), minlength=len(known))
-    total = np.bincount(inverse, minlength=len(known))
-    n, p = len(labels), max(1, labels.sum())
-    expected = total * p / n
-    strength = (positive - expected) ** 2 / np.maximum(expected * (1 - p / n), 1e-9)
-    keep = np.flatnonzero((total >= least) & (strength >= strength_least))
-    if len(keep) > most:
-        keep = np.sort(keep[np.argsort(-strength[keep], kind="stable")[:most]])
-    return known[keep], positive[keep], (total - positive)[keep]
-
-
-def as_rows(rows: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
-    """Each document's positions in known."""
-    out = []
-    for r in rows:
-        if not len(known):
-            out.append(np.zeros(0, np.int64))
-            continue
-        spot = np.minimum(np.searchsorted(known, r), len(known) - 1)
-        out.append(spot[known[spot] == r])
-    return out
+def _sampled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return rows.join(F.broadcast(sample), "__id").select("__id", "__label", "__text")  # as many rows as the sample's limit
+
+
+def _distinct_terms(part: Slice, terms: Terms) -> Iterator[np.ndarray]:
+    docs, hashes = terms(part)
+    order = np.argsort(docs, kind="stable")
+    hashes, bounds = hashes[order], np.searchsorted(docs[order], np.arange(part.last - part.first + 1))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        yield np.unique(hashes[a:b])
+
+
+@dataclass
+class Fitting:
+    """What a fit sees: selected terms (ascending hashes), their positive and negative documents, and each document's terms and label."""
+
+    known: np.ndarray
+    positive: np.ndarray
+    negative: np.ndarray
+    rows: list[np.ndarray]
+    labels: np.ndarray
+
+
+def gather(
+    docs: DataFrame, sample: DataFrame, *, id_col: str, text_col: str, terms: Terms, least: int, most: int, strength: float = 0.0
+) -> Fitting:
+    """Count terms by label over the sample, select, and read the sample's documents in the selected terms.
+
+    Terms of at least `least` documents and a chi-squared of at least
+    `strength` with the label are selected, the `most` strongest. The counts
+    are summed by Spark; the sample's limit and `most` bound what comes to the
+    driver.
+    """
+    rows = _sampled(docs, cut(sample), id_col, text_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = np.array(batch.column(1).to_pylist(), bool)
+            found, marks = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for part in slices(batch.column(2)):
+                for label, own in zip(labels[part.first : part.last], _distinct_terms(part, terms)):
+                    found.append(own)
+                    marks.append(np.full(len(own), label))
+            known, inverse = np.unique(np.concatenate(found), return_inverse=True)
+            positive = np.bincount(inverse, weights=np.concatenate(marks), minlength=len(known)).astype(np.int64)
+            total = np.bincount(inverse, minlength=len(known)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(positive), pa.array(total)], names=["term", "positive", "total"])
+
+    sizes = rows.agg(F.count("__label").alias("n"), F.coalesce(F.sum("__label"), F.lit(0)).alias("p")).first()
+    n, p = sizes["n"], max(1, sizes["p"])
+    counts = rows.mapInArrow(count, "term long, positive long, total long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
+    share = min(p / max(1, n), 1 - 1e-9)
+    expected = F.col("total") * F.lit(share)
+    power = F.pow(F.col("positive") - expected, 2) / (expected * F.lit(1 - share))
+    chosen = counts.filter(F.col("total") >= least).withColumn("power", power).filter(F.col("power") >= strength)
+    table = chosen.orderBy(F.desc("power"), "term").limit(most).toArrow()
+    known = np.array(table["term"].to_numpy(), np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known = known[order]
+    positive, total = np.array(table["positive"].to_numpy())[order], np.array(table["total"].to_numpy())[order]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(known)
+        for batch in batches:
+            for part in slices(batch.column(2)):
+                n = part.last - part.first
+                docs_, at = lookup.hits(*terms(part))
+                bounds = np.searchsorted(docs_, np.arange(n + 1))
+                blobs = [at[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.first, n), batch.column(1).slice(part.first, n), pa.array(blobs, pa.binary())],
+                    names=["id", "label", "terms"],
+                )
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    got = rows.mapInArrow(read, f"id {kind}, label int, terms binary").orderBy("id", "label", "terms").toArrow()
+    return Fitting(
+        known, positive, total - positive, [np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], np.array(got["label"].to_pylist(), np.int64)
+    )
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:

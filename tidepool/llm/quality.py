@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .features import Lookup, as_rows, collect_terms, labelled_sample, platt, select_terms
+from .features import Fitting, Lookup, gather, labelled_sample, platt
 from .words import Hasher, Slice, mix, slices, words
 
 #: Bounds of the fit: labelled rows used, indicators kept, documents that an indicator must be in.
@@ -116,15 +116,14 @@ def _descend(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray, cost
     return weight, bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 12) -> NbSvm:
-    """Fit on distinct indicator hashes and 0/1 labels. Without rows, or with one class only, every text scores the smoothed share of ones."""
-    known, positive, negative = select_terms(rows, labels, LEAST_DOCS, MOST_TERMS)
+def fit(seen: Fitting, cost: float = 1.0, rounds: int = 12) -> NbSvm:
+    """Fit on the indicators and 0/1 labels of documents. Without rows, or with one class only, every text scores the smoothed share of ones."""
+    known, positive, negative, at, labels = seen.known, seen.positive, seen.negative, seen.rows, seen.labels
     p, q = labels.sum(), len(labels) - labels.sum()
     if not p or not q or not len(known):
         return NbSvm(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0, 0.0, float(np.log((p + 1) / (q + 1))))
     ratio = np.log((positive + 1) / (positive + 1).sum()) - np.log((negative + 1) / (negative + 1).sum())
-    at = as_rows(rows, known)
-    held = np.arange(len(rows)) % 5 == 4
+    held = np.arange(len(at)) % 5 == 4
     some = [r for r, h in zip(at, held) if not h]
     weight, bias = _descend(some, ratio, labels[~held], cost, rounds)
     model = NbSvm(known, ratio, weight, bias, 1.0, 0.0)
@@ -137,7 +136,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: i
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> NbSvm:
     """Fit on at most sample_rows labelled documents for which train_rows holds."""
     sample = labelled_sample(labels, id_col, label_col, train_rows, sample_rows)
-    return fit(*collect_terms(docs, sample, id_col, text_col, terms))
+    return fit(gather(docs, sample, id_col=id_col, text_col=text_col, terms=terms, least=LEAST_DOCS, most=MOST_TERMS))
 
 
 def score(docs: DataFrame, model: NbSvm, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:

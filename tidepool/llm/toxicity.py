@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from .features import Lookup, as_rows, collect_terms, labelled_sample, platt, select_terms
+from .features import Fitting, Lookup, gather, labelled_sample, platt
 from .quality import with_scores
 from .words import Hasher, Slice, words
 
@@ -62,16 +62,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(docs, at, n) + self.b, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+def fit(seen: Fitting, *, factors: int = FACTORS, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4) -> Machine:
     """Adaptive stochastic gradient descent on the logistic loss, in fixed order. With one class only, every text scores the smoothed share of ones."""
-    known, _, _ = select_terms(rows, labels, LEAST_DOCS, MOST_TERMS, LEAST_STRENGTH)
+    known, at, labels = seen.known, seen.rows, seen.labels
     p, q = int(labels.sum()), int(len(labels) - labels.sum())
     if not p or not q or not len(known):
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, factors)), float(np.log((p + 1) / (q + 1))))
-    at = as_rows(rows, known)
     random = np.random.default_rng(11)
     model = Machine(known, np.zeros(len(known)), random.normal(0, 0.01, (len(known), factors)), float(np.log((p + 1) / (q + 1))))
-    held = np.arange(len(rows)) % 5 == 4
+    held = np.arange(len(at)) % 5 == 4
     train_rows = np.flatnonzero(~held)
     seen_w, seen_v = np.full(len(known), 1e-8), np.full((len(known), factors), 1e-8)
     for _ in range(rounds):
@@ -105,7 +104,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, r
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most sample_rows labelled documents for which train_rows holds."""
     sample = labelled_sample(labels, id_col, label_col, train_rows, sample_rows)
-    return fit(*collect_terms(docs, sample, id_col, text_col, terms))
+    return fit(gather(docs, sample, id_col=id_col, text_col=text_col, terms=terms, least=LEAST_DOCS, most=MOST_TERMS, strength=LEAST_STRENGTH))
 
 
 def _scorer(model: Machine):
