@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, jaccard, quality, rules, toxicity
+from . import bpe, fingerprint, jaccard, quality, rules, suffixes, toxicity
 from .cluster import cut
 from .mixing import mix_sources, words_in
 
@@ -116,6 +116,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     held = _remainder(4, 2)
@@ -125,7 +129,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op7_ngram_jaccard, op8_quality_classifier, op10_toxicity]
+    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op7_ngram_jaccard, op8_quality_classifier, op9_suffix_dedup, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
