@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, jaccard, quality, rules, suffixes, toxicity
+from . import bpe, fingerprint, jaccard, licenses, lm, quality, rules, suffixes, toxicity
 from .cluster import cut
 from .mixing import mix_sources, words_in
 
@@ -104,6 +104,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held = _remainder(7, 2)
+    model, counts = lm.learn(docs, train_rows=~held)
+    scored = lm.score(docs, model, counts)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
 
@@ -129,7 +141,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op7_ngram_jaccard, op8_quality_classifier, op9_suffix_dedup, op10_toxicity]
+    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op5_license_scan, op6_lm_scoring, op7_ngram_jaccard, op8_quality_classifier, op9_suffix_dedup, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
