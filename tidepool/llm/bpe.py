@@ -249,17 +249,29 @@ def _groups(column: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def default_vocabulary() -> str:
+    """Path of the byte-level vocabulary of 50,257 tokens that is installed here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "token_ids", check_col: str | None = None) -> DataFrame:
     """Add ids_col array<int>: the tokens of each whole text, without special tokens added.
 
+    With check_col a boolean column of that name tells whether the tokens
+    decode to the text again.
+
     Strings of special tokens in a text become those tokens, as the library
     does by default. Null and empty texts have no tokens. Rows keep all other
     columns, repeated rows and nulls in them included; a column named ids_col
     is replaced. Memory follows the longest text, not the table.
     """
     spec = _spec(vocabulary)
-    base = docs.drop(ids_col) if ids_col in docs.columns else docs
-    schema = base.withColumn(ids_col, F.lit(None).cast("array<int>")).schema
+    added = [ids_col, *([check_col] if check_col else [])]
+    base = docs.drop(*[c for c in added if c in docs.columns])
+    schema = base.withColumn(ids_col, F.lit(None).cast("array<int>"))
+    schema = (schema.withColumn(check_col, F.lit(None).cast("boolean")) if check_col else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(spec)
@@ -271,7 +283,10 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
                 column = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids_col])
+                columns = [*part.columns, column]
+                if check_col:
+                    columns.append(pa.array([bpe.decode(x) == t for x, t in zip(ids, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
     return base.mapInArrow(run, schema)
 

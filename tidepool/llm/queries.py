@@ -71,12 +71,6 @@ FROM joined
 """
 
 
-def _vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is learned from every labelled document's statistics; the statistics are computed once."""
     stats = cut(rules.text_statistics(_documents(spark, sf_dir).select("doc_id", "text")))
@@ -97,7 +91,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_documents(spark, sf_dir), _vocabulary())
+    return bpe.round_trip(_documents(spark, sf_dir), bpe.default_vocabulary())
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

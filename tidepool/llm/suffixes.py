@@ -9,35 +9,37 @@ a document with a smaller id.
    anchor that several documents of a batch have is known to be shared at
    once, and its part (anchors are dealt by hash) hears of it in two entries
    only, whatever their number.
-2. Contexts. Around shared anchors the bytes are gathered that windows with
-   this anchor cover. A document whose context equals that of a smaller
-   document of its batch loses it at once; only the smallest is sent on.
-3. Suffixes. In each part, equal contexts are one, with its smallest document.
-   Where an anchor has several different ones, all their windows are sorted as
+2. Contexts. Around shared anchors lie the bytes that windows with this anchor
+   cover. Of each such context a hash goes to the anchor's part. A document
+   whose context equals that of a smaller document loses it whole; in a batch
+   that is known at once, and only the smallest is sent on.
+3. Suffixes. Where an anchor has several different contexts, the bytes of each
+   (from its smallest document) are gathered, and all their windows sorted as
    suffixes of the joined contexts in two stages: suffixes smaller than their
    successors directly, the rest by scanning the buckets in order; common
    prefixes of neighbours then show equal windows, and each group's smallest
    document keeps its bytes.
-4. The covered ranges are joined to the documents and cut out.
+4. What is lost is joined to the documents and cut out.
 
-Texts are shuffled once, by document; both joins read the same exchange.
+Texts are shuffled once, by document; all joins read the same exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .cluster import partitions
-from .words import Hasher, slices
+from .words import Hasher, mix, slices
 
 LENGTH = 50
 ANCHOR = 20
+LEAST_PARTS = 64
 
 
 def two_stage_sort(data: np.ndarray, depth: int) -> np.ndarray:
@@ -103,10 +105,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     padded = np.concatenate([data, np.zeros(depth, np.uint8)])
     same = np.zeros(len(order), bool)
     left, right, alive = order[:-1], order[1:], np.arange(1, len(order))
-    for step in range(0, depth, 10):
-        block = np.arange(step, min(depth, step + 10))
-        equal = (padded[left[:, None] + block] == padded[right[:, None] + block]).all(axis=1)
-        left, right, alive = left[equal], right[equal], alive[equal]
+    for step in range(depth):
+        equal = padded[left + step] == padded[right + step]
+        if not equal.all():
+            left, right, alive = left[equal], right[equal], alive[equal]
     same[alive] = True
     return same
 
@@ -150,6 +152,18 @@ def _occurrences(part, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray
     return hashes[at[heads]], docs[heads], at[heads], starts[heads], starts[tails]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of about limit bytes of text, so that memory doesn't follow the batch size."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < batch.num_rows:
+            done = ends[low - 1] if low else 0
+            high = min(batch.num_rows, max(low + 1, int(np.searchsorted(ends, done + limit, side="right"))))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _narrow(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of unsigned 64-bit numbers."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -208,7 +222,7 @@ def _announce(parts: int, length: int, anchor: int):
     """Batches of (key, text) to rows for the parts: hashes with the batch's smallest and largest document, and what is known at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             keys = batch.column(0).to_numpy()
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for part in slices(batch.column(1)):
@@ -265,96 +279,162 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(owner[heads], pa.int64()), "anchors": pa.array(blobs_, pa.binary())})
 
 
-def _contexts(parts: int, length: int, anchor: int):
-    """Batches of (key, text, lists of shared anchors) to rows for the parts: contexts with their documents, and ranges known to go."""
+def _flagged(batch: pa.RecordBatch, lists: str, width: int) -> list[np.ndarray]:
+    """Of each row, the sorted numbers in its lists of packed numbers."""
+    column = batch.column(batch.schema.get_field_index(lists))
+    out = []
+    for i in range(batch.num_rows):
+        row = column[i]
+        blobs = [b.as_py() for b in row.values] if row.is_valid else []
+        out.append(np.unique(_widen(b"".join(blobs), width)))
+    return out
+
+
+def _contexts(part, rows: list[np.ndarray], length: int, anchor: int, by_digest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of a slice whose anchor (or, if by_digest, whose own hash) is among its row's numbers: (anchor, context hash, document, begin, end)."""
+    hashes, owner, _, first, last = _occurrences(part, length, anchor)
+    last = last + length
+    digests = Hasher(part.data).spans(first, last) & _MASK
+    mine = digests if by_digest else hashes & _MASK
+    sizes = [len(rows[part.first + i]) for i in range(part.last - part.first)]
+    cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    keep = np.zeros(len(owner), bool)
+    for i in np.flatnonzero(sizes).tolist():
+        at = slice(cuts[i], cuts[i + 1])
+        flags = rows[part.first + i]
+        spot = np.minimum(np.searchsorted(flags, mine[at]), len(flags) - 1)
+        keep[at] = flags[spot] == mine[at]
+    return hashes[keep] & _MASK, digests[keep], owner[keep], first[keep], last[keep]
+
+
+def _outline(parts: int, length: int, anchor: int):
+    """Batches of (key, text, anchors) to rows for the parts: context hashes with the batch's smallest document, and what other documents lose at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        for batch in _pieces(batches, 1):
+            keys, flags = batch.column(0).to_numpy(), _flagged(batch, "anchors", _HASH_BYTES)
+            held = []
             for part in slices(batch.column(1)):
-                hashes, owner, _, first, last = _occurrences(part, length, anchor)
-                cuts = np.searchsorted(owner, np.arange(part.last - part.first + 1))
-                for i in range(part.last - part.first):
-                    wanted = batch.column(2)[part.first + i].values
-                    flags = np.sort(np.concatenate([_widen(b.as_py(), _HASH_BYTES) for b in wanted]))
-                    own = hashes[cuts[i] : cuts[i + 1]] & _MASK
-                    if not len(own) or not len(flags):
-                        continue
-                    spot = np.minimum(np.searchsorted(flags, own), len(flags) - 1)
-                    hit = np.flatnonzero(flags[spot] == own) + cuts[i]
-                    low, high = int(part.starts[i]), int(part.ends[i])
-                    text = part.data[low:high].tobytes()
-                    name = xxhash.xxh64_intdigest(text) & 0x7FFFFFFFFFFFFFFF
-                    key = int(keys[part.first + i])
-                    for h, a, b in zip(hashes[hit].tolist(), (first[hit] - low).tolist(), (last[hit] - low + length).tolist()):
-                        seen.setdefault((h, text[a:b]), []).append((key, name, a))
-            # Only the smallest document of equal contexts has to hear more.
-            sent: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
-            gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for (h, context), places in seen.items():
-                lowest = min(p[0] for p in places)
-                for key, name, a in places:
-                    if key == lowest:
-                        sent.setdefault((h >> 40) % parts, []).append((h, key, name, a, context))
-                    else:
-                        gone.setdefault((key, name), []).append((a, a + len(context)))
+                hashes, digests, owner, _, _ = _contexts(part, flags, length, anchor, False)
+                held.append((hashes, digests, keys[part.first : part.last][owner]))
+            if not held:
+                continue
+            hashes, digests, owner = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((owner, digests, hashes))
+            hashes, digests, owner = hashes[order], digests[order], owner[order]
+            once = _heads(hashes, digests, owner)
+            hashes, digests, owner = hashes[once], digests[once], owner[once]
+            lowest = np.zeros(len(hashes), bool)
+            lowest[_heads(hashes, digests)] = True
             rows: dict[int, list[bytes]] = {}
-            for p, items in sent.items():
-                h, key, name, a, context = zip(*items)
-                rows[p] = [np.array(h, np.uint64).tobytes(), np.array(key, np.int64).tobytes(), np.array(name, np.int64).tobytes(), np.array(a, np.int32).tobytes(), np.array([len(c) for c in context], np.int32).tobytes(), b"".join(context), b"", b"", b"", b""]
-            by_part: dict[int, list[tuple[int, int]]] = {}
-            for key, name in gone:
-                by_part.setdefault(key % parts, []).append((key, name))
-            for p, items in by_part.items():
-                row = rows.setdefault(p, [b""] * 10)
-                ranges = [np.array(gone[x], np.int32) for x in items]
-                row[6:] = [np.array([x[0] for x in items], np.int64).tobytes(), np.array([x[1] for x in items], np.int64).tobytes(), np.array([len(r) for r in ranges], np.int32).tobytes(), np.concatenate(ranges).tobytes()]
-            if rows:
-                columns = [pa.array(list(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*rows.values())]]
-                yield pa.RecordBatch.from_arrays(columns, names=_CONTEXT_COLUMNS)
+            heads = np.flatnonzero(lowest)
+            for p, at in _deal(_spread(hashes[heads], parts), parts):
+                at = heads[at]
+                rows[p] = [_narrow(hashes[at], _HASH_BYTES), _narrow(digests[at], _HASH_BYTES), _pack(owner[at]), b"", b""]
+            lost = np.flatnonzero(~lowest)
+            for p, at in _deal(owner[lost] % parts, parts):
+                row = rows.setdefault(p, [b""] * 5)
+                row[3], row[4] = _narrow(digests[lost[at]], _HASH_BYTES), _pack(owner[lost[at]])
+            columns = [pa.array(list(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*rows.values())]] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 5]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "hash", "digest", "owner", "lost", "lost_owner"])
+
+    return run
+
+
+def _spread(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(parts)).astype(np.int64)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """(key, lost, asked): contexts that a smaller document has too, and those whose bytes are needed."""
+    blobs = {c: [v.as_py() for v in table[c]] for c in table.column_names if c != "part"}
+    read = lambda c: np.concatenate([np.zeros(0, np.uint64), *[_widen(b, _HASH_BYTES) for b in blobs[c]]])
+    keys = lambda c: np.concatenate([np.zeros(0, np.int64), *[_unpack(b) for b in blobs[c]]])
+    hashes, digests, owner = read("hash"), read("digest"), keys("owner")
+    order = np.lexsort((owner, digests, hashes))
+    hashes, digests, owner = hashes[order], digests[order], owner[order]
+    first = _heads(hashes, digests)
+    lowest = np.zeros(len(hashes), bool)
+    lowest[first] = True
+    least = owner[first[np.cumsum(lowest) - 1]] if len(first) else owner
+    lost = owner > least
+    group = _heads(hashes)
+    sizes = np.diff(np.append(np.searchsorted(first, group), len(first)))  # different contexts of each anchor
+    asked = first[np.repeat(sizes > 1, sizes)] if len(group) else first
+    at = [_by_key(np.concatenate([owner[lost], keys("lost_owner")]), np.concatenate([digests[lost], read("lost")])), _by_key(owner[asked], digests[asked])]
+    return pa.table(
+        {
+            "key": pa.array([k for x in at for k in x], pa.int64()),
+            "lost": pa.array([b for b in at[0].values()] + [b""] * len(at[1]), pa.binary()),
+            "asked": pa.array([b""] * len(at[0]) + [b for b in at[1].values()], pa.binary()),
+        }
+    )
+
+
+def _by_key(owner: np.ndarray, numbers: np.ndarray) -> dict[int, bytes]:
+    order = np.argsort(owner, kind="stable")
+    owner, numbers = owner[order], numbers[order]
+    heads = _heads(owner)
+    ends = np.append(heads[1:], len(owner))
+    return {int(owner[a]): _narrow(numbers[a:b], _HASH_BYTES) for a, b in zip(heads, ends)}
+
+
+def _bytes_of(parts: int, length: int, anchor: int):
+    """Batches of (key, text, asked) to rows for the parts: the asked contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, 1):
+            keys, asked = batch.column(0).to_numpy(), _flagged(batch, "asked", _HASH_BYTES)
+            found: dict[int, dict[tuple[int, int, int], bytes]] = {}
+            for part in slices(batch.column(1)):
+                hashes, digests, owner, begin, end = _contexts(part, asked, length, anchor, True)
+                data = part.data.tobytes()
+                own = keys[part.first : part.last]
+                for p, h, d, i, a, b in zip(_spread(hashes, parts).tolist(), hashes.tolist(), digests.tolist(), owner.tolist(), begin.tolist(), end.tolist()):
+                    found.setdefault(p, {})[h, d, int(own[i])] = data[a:b]
+            if not found:
+                continue
+            rows = []
+            for p, items in found.items():
+                h, d, k = (np.array(x) for x in zip(*items))
+                sizes = np.array([len(c) for c in items.values()], np.uint16)
+                rows.append((p, _narrow(h.astype(np.uint64), _HASH_BYTES), _narrow(d.astype(np.uint64), _HASH_BYTES), _pack(k.astype(np.int64)), sizes.tobytes(), b"".join(items.values())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=_BYTE_COLUMNS)
 
     return run
 
 
-_CONTEXT_COLUMNS = ["part", "hash", "key", "name", "start", "size", "bytes", "gone_key", "gone_name", "gone_count", "gone"]
+_BYTE_COLUMNS = ["part", "hash", "digest", "owner", "size", "bytes"]
+#: A lost range of a context: the context's hash, then where the range starts and ends in it.
+_RANGE = np.dtype([("digest", "<u8"), ("low", "<u2"), ("high", "<u2")])
 
 
 def _resolve(length: int):
-    """A part's contexts to (key, ranges that go); a blob of ranges starts with the text's name."""
+    """A part's contexts to (key, windows): ranges of each that a smaller document has too."""
 
     def run(table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(v.as_py() for v in table[c]), kind)
-        hashes, keys, names = join("hash", np.uint64).tolist(), join("key", np.int64).tolist(), join("name", np.int64).tolist()
-        starts, sizes = join("start", np.int32).tolist(), join("size", np.int32)
-        text = b"".join(v.as_py() for v in table["bytes"])
-        ends = np.cumsum(sizes.astype(np.int64)).tolist()
+        blobs = {c: [v.as_py() for v in table[c]] for c in table.column_names if c != "part"}
+        hashes = np.concatenate([_widen(b, _HASH_BYTES) for b in blobs["hash"]]).tolist()
+        digests = np.concatenate([_widen(b, _HASH_BYTES) for b in blobs["digest"]]).tolist()
+        keys = np.concatenate([_unpack(b) for b in blobs["owner"]]).tolist()
+        sizes = np.frombuffer(b"".join(blobs["size"]), np.uint16).astype(np.int64)
+        text, ends = b"".join(blobs["bytes"]), np.cumsum(sizes)
         lowest: dict[tuple[int, bytes], int] = {}
         variants: dict[int, list[bytes]] = {}
-        contexts = [text[e - s : e] for s, e in zip(sizes.tolist(), ends)]
-        for h, key, context in zip(hashes, keys, contexts):
+        named: dict[tuple[int, bytes], int] = {}
+        for h, d, key, size, end in zip(hashes, digests, keys, sizes.tolist(), ends.tolist()):
+            context = text[end - size : end]
             old = lowest.get((h, context))
             if old is None:
                 variants.setdefault(h, []).append(context)
+                named[h, context] = d
             if old is None or key < old:
                 lowest[h, context] = key
         covered = _covered_windows({h: v for h, v in variants.items() if len(v) > 1}, lowest, length)
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for h, key, name, a, context in zip(hashes, keys, names, starts, contexts):
-            if key > lowest[h, context]:
-                out.setdefault((key, name), []).append((a, a + len(context)))
-            else:
-                for low, high in covered.get((h, context), ()):
-                    out.setdefault((key, name), []).append((a + low, a + high))
-        owner = [k for k, _ in out]
-        blobs = [np.int64(n).tobytes() + np.array(r, np.int32).tobytes() for (_, n), r in out.items()]
-        counts = join("gone_count", np.int32)
-        ranges = join("gone", np.int32).reshape(-1, 2)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        for key, name, low, high in zip(join("gone_key", np.int64).tolist(), join("gone_name", np.int64), bounds[:-1], bounds[1:]):
-            owner.append(key)
-            blobs.append(name.tobytes() + ranges[low:high].tobytes())
-        return pa.table({"key": pa.array(owner, pa.int64()), "ranges": pa.array(blobs, pa.binary())})
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for item, ranges in covered.items():
+            out.setdefault(lowest[item], []).extend((named[item], low, high) for low, high in ranges)
+        return pa.table({"key": pa.array(list(out), pa.int64()), "windows": pa.array([np.array(r, _RANGE).tobytes() for r in out.values()], pa.binary())})
 
     return run
 
@@ -366,7 +446,7 @@ def _covered_windows(variants: dict[int, list[bytes]], lowest: dict[tuple[int, b
     # Anchors are independent of each other: suffixes of some thousands of contexts are sorted at a time.
     low = 0
     while low < len(items):
-        high = min(len(items), low + 20_000)
+        high = min(len(items), low + 4_000)
         while high < len(items) and items[high][0] == items[high - 1][0]:
             high += 1
         _sort_contexts(items[low:high], lowest, length, out)
@@ -398,59 +478,87 @@ def _sort_contexts(items: list[tuple[int, bytes]], lowest: dict[tuple[int, bytes
         out.setdefault(items[i], []).append((a - int(begins[i]), b - int(begins[i]) + length))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row of docs.
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept][, carried columns]) of each row of docs.
 
     Texts are UTF-8 bytes, null texts empty; matches never cross documents and
     are judged on the input. A byte goes if a string of `length` bytes over it
     also starts in a row with a smaller id, so of rows with the same id neither
     counts for the other. Rows with a null id come after all others. kept (if
     asked for) is what is left, as text; where a cut splits a character, its
-    bytes that are left become U+FFFD. An empty table gives no rows.
+    other bytes are left out. The columns in carry go along with their rows. Ids are integers. An empty table gives
+    no rows.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    # A document gets a row from each part that has something for it, up to the number of its shared anchors.
+    parts = max(LEAST_PARTS, partitions(docs.sparkSession))
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_FAR).cast("long"))
-    texts = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    blobs = lambda names: "part int, " + ", ".join(f"{c} binary" for c in names)
 
-    announced = texts.select("key", "text").mapInArrow(_announce(parts, length, anchor), "part int, alone binary, owner binary, apart binary, known binary, known_owner binary")
+    announced = texts.select("key", "text").mapInArrow(_announce(parts, length, anchor), blobs(["alone", "owner", "apart", "known", "known_owner"]))
     flags = announced.groupBy("part").applyInArrow(_shared, "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
     dealt = texts.repartition(parts, "key")
-    around = dealt.select("key", "text").join(flags, "key").select("key", "text", "anchors")
-    found = around.mapInArrow(_contexts(parts, length, anchor), ", ".join(f"{c} {'int' if c == 'part' else 'binary'}" for c in _CONTEXT_COLUMNS))
-    ranges = found.groupBy("part").applyInArrow(_resolve(length), "key long, ranges binary").groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
-    joined = dealt.join(ranges, "key", "left").select("id", "text", "ranges")
+    around = dealt.join(flags, "key").select("key", "text", "anchors")
+    outlined = around.mapInArrow(_outline(parts, length, anchor), blobs(["hash", "digest", "owner", "lost", "lost_owner"]))
+    compared = outlined.groupBy("part").applyInArrow(_compare, "key long, lost binary, asked binary")
+    answers = compared.groupBy("key").agg(*[F.collect_list(F.when(F.length(c) > 0, F.col(c))).alias(c) for c in ("lost", "asked")])
+    asked = dealt.join(answers.filter(F.size("asked") > 0).select("key", "asked"), "key").select("key", "text", "asked")
+    gathered = asked.mapInArrow(_bytes_of(parts, length, anchor), blobs(_BYTE_COLUMNS[1:]))
+    windows = gathered.groupBy("part").applyInArrow(_resolve(length), "key long, windows binary").groupBy("key").agg(F.collect_list("windows").alias("windows"))
+    joined = dealt.join(answers.select("key", "lost"), "key", "left").join(windows, "key", "left").select("key", "text", "lost", "windows", *[f"carried_{i}" for i in range(len(carry))])
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
     columns = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
+    columns += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1):
+            lost = _flagged(batch, "lost", _HASH_BYTES)
+            partly = [np.frombuffer(b"".join(b.as_py() for b in row.values) if row.is_valid else b"", _RANGE) for row in batch.column(3)]
+            wanted = [np.union1d(a, b["digest"]) for a, b in zip(lost, partly)]
             sizes, removed, spans, digests, kept = [], [], [], [], []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py().encode()
-                n, lost, runs = len(text), 0, 0
-                lists = batch.column(2)[i]
-                if lists.is_valid:
-                    name = (xxhash.xxh64_intdigest(text) & 0x7FFFFFFFFFFFFFFF).to_bytes(8, "little")
-                    mine = [np.frombuffer(b, np.int32, offset=8) for v in lists.values if (b := v.as_py())[:8] == name]
-                    if mine:
-                        pairs = np.concatenate(mine).reshape(-1, 2)
-                        edges = np.zeros(n + 1, np.int64)
-                        np.add.at(edges, pairs[:, 0], 1)
-                        np.add.at(edges, pairs[:, 1], -1)
-                        gone = np.cumsum(edges)[:n] > 0
-                        lost = int(gone.sum())
-                        runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                        text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                sizes.append(n)
-                removed.append(lost)
-                spans.append(runs)
-                digests.append(hashlib.sha256(text).hexdigest())
-                kept.append(text.decode("utf-8", "replace") if keep_text else "")
-            out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+            for part in slices(batch.column(1)):
+                _, context, owner, begin, end = _contexts(part, wanted, length, anchor, True)
+                cuts = np.searchsorted(owner, np.arange(part.last - part.first + 1))
+                for i in range(part.last - part.first):
+                    low, high = int(part.starts[i]), int(part.ends[i])
+                    text = part.data[low:high]
+                    gone = np.zeros(len(text), bool)
+                    at = slice(cuts[i], cuts[i + 1])
+                    if cuts[i + 1] > cuts[i]:
+                        gone = _covered(len(text), context[at], begin[at] - low, end[at] - low, lost[part.first + i], partly[part.first + i])
+                    rest = text[~gone].tobytes()
+                    sizes.append(len(text))
+                    removed.append(len(text) - len(rest))
+                    spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
+                    digests.append(hashlib.sha256(rest).hexdigest())
+                    kept.append(rest.decode("utf-8", "ignore") if keep_text else "")
+            ids = pa.array([None if k == _FAR else k for k in batch.column(0).to_pylist()], pa.int64()).cast(id_type)
+            out = [ids, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
             names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 out, names = [*out, pa.array(kept, pa.string())], [*names, "kept"]
+            out, names = [*out, *batch.columns[4:]], [*names, *carry]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return joined.mapInArrow(cut_out, columns)
+
+
+def _covered(n: int, context: np.ndarray, begin: np.ndarray, end: np.ndarray, lost: np.ndarray, partly: np.ndarray) -> np.ndarray:
+    """Which of n bytes go: contexts that are lost whole, and lost ranges of others."""
+    edges = np.zeros(n + 1, np.int64)
+    if len(lost):
+        spot = np.minimum(np.searchsorted(lost, context), len(lost) - 1)
+        whole = lost[spot] == context
+        np.add.at(edges, begin[whole], 1)
+        np.add.at(edges, end[whole], -1)
+    if len(partly):
+        order = np.argsort(context, kind="stable")
+        low = np.searchsorted(context[order], partly["digest"], side="left")
+        high = np.searchsorted(context[order], partly["digest"], side="right")
+        times = high - low
+        which = np.repeat(np.arange(len(partly)), times)
+        place = order[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        np.add.at(edges, begin[place] + partly["low"][which], 1)
+        np.add.at(edges, begin[place] + partly["high"][which], -1)
+    return np.cumsum(edges)[:n] > 0
