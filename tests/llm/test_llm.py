@@ -319,7 +319,7 @@ def test_pairs_of_terms_are_learned():
         rows.append(np.flatnonzero(on).astype(np.int32))
         labels.append(int(on[0] and on[1]))
     labels = np.array(labels)
-    model = toxicity.fit(Fitting(np.arange(6, dtype=np.uint64), np.zeros(6), np.zeros(6), rows, labels), rounds=30)
+    model = toxicity.fit(Fitting(np.arange(6, dtype=np.uint64), np.zeros(6), np.zeros(6), rows, labels))
     score = lambda *x: model.scores(np.zeros(len(x), np.int64), np.array(x, np.int64), 1)[0]
     assert score(0, 1) > 0.7 and score(0) < 0.3 and score(1) < 0.3
 

@@ -21,10 +21,11 @@ from .words import Hasher, Slice, words
 #: Bounds of the fit: labelled rows used, terms kept, documents that a term must be in, chi-squared of a term and the label.
 SAMPLE_ROWS = 30_000
 MOST_TERMS = 20_000
-LEAST_DOCS = 4
-LEAST_STRENGTH = 25.0
+LEAST_DOCS = 3
+LEAST_STRENGTH = 20.0
 FACTORS = 6
 PREFIXES = (4, 5, 6, 7, 8)
+_BATCH = 128
 
 
 def terms(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +63,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(docs, at, n) + self.b, -30, 30)))
 
 
-def fit(seen: Fitting, *, factors: int = FACTORS, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4) -> Machine:
-    """Adaptive stochastic gradient descent on the logistic loss, in fixed order. With one class only, every text scores the smoothed share of ones."""
+def fit(seen: Fitting, *, factors: int = FACTORS, steps: int = 2000, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+    """Adaptive stochastic gradient descent on the logistic loss, in fixed order: `steps` batches at least, and twelve rounds. With one class only, every text scores the smoothed share of ones."""
     known, at, labels = seen.known, seen.rows, seen.labels
     p, q = int(labels.sum()), int(len(labels) - labels.sum())
     if not p or not q or not len(known):
@@ -73,10 +74,10 @@ def fit(seen: Fitting, *, factors: int = FACTORS, rounds: int = 12, rate: float
     held = np.arange(len(at)) % 5 == 4
     train_rows = np.flatnonzero(~held)
     seen_w, seen_v = np.full(len(known), 1e-8), np.full((len(known), factors), 1e-8)
-    for _ in range(rounds):
+    for _ in range(max(12, -(-steps * _BATCH // max(1, len(train_rows))))):
         order = random.permutation(train_rows)
-        for low in range(0, len(order), 128):
-            batch = order[low : low + 128]
+        for low in range(0, len(order), _BATCH):
+            batch = order[low : low + _BATCH]
             n = len(batch)
             docs = np.repeat(np.arange(n), [len(at[i]) for i in batch])
             ids = np.concatenate([at[i] for i in batch])
