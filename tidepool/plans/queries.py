@@ -320,12 +320,12 @@ def dag_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT l_partkey, l_suppkey, count(*) AS n, bool_or(l_returnflag = 'R') AS breaking FROM lineitem GROUP BY ALL),
-d AS (SELECT l_suppkey AS target, sum(CASE WHEN n > 1 THEN 0.9 ELSE 0.5 END) AS direct, bool_or(breaking) AS breaking FROM e GROUP BY 1)
-SELECT target, round(greatest(0.05, least(1.0, (0.3 * direct / 100 + 0.075 * direct / 200) * CASE WHEN breaking THEN 1.4 ELSE 1.0 END + CASE WHEN target % 5 = 0 THEN 0.25 ELSE 0.0 END)), 6) AS risk FROM d"""
+d AS (SELECT l_suppkey AS target, count(*) FILTER (n > 1) * 0.9::DOUBLE + count(*) FILTER (n <= 1) * 0.5::DOUBLE AS direct, bool_or(breaking) AS breaking FROM e GROUP BY 1)
+SELECT target, round(greatest(0.05::DOUBLE, least(1.0::DOUBLE, (0.3::DOUBLE * (direct / 100) + 0.15::DOUBLE * 0.5::DOUBLE * (direct / 200)) * CASE WHEN breaking THEN 1.4::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN target % 5 = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS risk FROM d"""
 )
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("l_returnflag") == "R").alias("breaking"))
-    d = l.groupBy(F.col("l_suppkey").alias("target")).agg(F.sum(F.when(F.col("n") > 1, 0.9).otherwise(0.5)).alias("direct"), F.bool_or("breaking").alias("breaking"))
+    d = l.groupBy(F.col("l_suppkey").alias("target")).agg((F.count_if(F.col("n") > 1) * 0.9 + F.count_if(F.col("n") <= 1) * 0.5).alias("direct"), F.bool_or("breaking").alias("breaking"))
     risk = graphs.blast_risk(F.col("direct") / 100, F.col("direct") / 200, F.col("breaking"), F.col("target") % 5 == 0)
     return d.select("target", F.round(risk, 6).alias("risk"))
 
