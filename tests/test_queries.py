@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tidepool.plans import knowledge  # noqa: F401
 from tidepool.plans.queries import QUERIES, SQL
 
 
