@@ -134,10 +134,48 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM cut
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.node
+)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(root) FROM reach WHERE node = s.doc_id) AS component_id FROM sets s
+"""
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), bytes AS (
+  SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM d
+), starts AS (
+  SELECT doc_id, n, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + 50 <= n THEN md5(substr(h, 2 * i + 1, 100)) END AS k FROM bytes
+), seen AS (
+  SELECT doc_id, n, i, b, k IS NOT NULL AND min(doc_id) OVER (PARTITION BY k) < doc_id AS hit FROM starts
+), gone AS (
+  SELECT doc_id, n, i, b, coalesce(max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS g FROM seen
+), runs AS (
+  SELECT *, g - coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), 0) AS turn FROM gone
+), summed AS (
+  SELECT doc_id, sum(g)::BIGINT AS n_removed, count(*) FILTER (turn = 1) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (g = 0) AS kept FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op5_license_scan, op6_lm_scoring, op7_ngram_jaccard, op8_quality_classifier, op9_suffix_dedup, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op9_suffix_dedup": OP9_SQL}
