@@ -10,7 +10,10 @@
    the set, one of which any partner must have. Elements in more than a
    fraction of the documents are left out of segments, which takes away at
    most as many differences, so nothing is lost and common lines and passages
-   don't bind blocks together.
+   don't bind blocks together. Pairs that meet so are held against the parity
+   sketches of their sets first: bits that differ are differing elements at
+   least, so pairs with more of them than the threshold allows are no links.
+   Where more than MANY classes share a key, each is tied to the smallest.
 3. Search. In each block, T-occurrence search by DivideSkip: with the lists of
    a set's elements ordered by length, the short ones are heap-merged and what
    occurs in them often enough is looked up in the long ones by binary search.
@@ -41,6 +44,8 @@ from .words import Hasher, distinct, mix, shingles, slices, words
 COMMON = 0.002
 #: Classes of a block that are searched in one task.
 CHUNK = 1024
+#: Classes with one key up to which all their pairs are held against sketches.
+MANY = 32
 _CLASS_RATIO = 1.5
 _TABLE_BITS = 20
 
@@ -84,34 +89,51 @@ def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """Parity of the elements by hash: about two bits an element, a power of two of them."""
+    bits = 1 << max(6, int(2 * len(own) - 1).bit_length())
+    odd = np.zeros(bits, np.uint8)
+    np.add.at(odd, (own % np.uint64(bits)).astype(np.int64), np.uint8(1))
+    return np.packbits(odd & 1).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Elements in which two sets differ at least."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)  # a position modulo the smaller size
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool) -> DataFrame:
-    """(id, n, digest) of each document, and (token, docs) of what is common in a batch."""
+    """(id, n, digest, sketch) of each document, and (token, docs) of what is common in a batch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, tokens = [], [], []
+            sizes, digests, sketches, tokens = [], [], [], []
             for _, kept, bounds in _sets(batch.column(1), k, lower):
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     sizes.append(b - a)
                     digests.append(_digest(kept[a:b]).hex() if b > a else None)
+                    sketches.append(_sketch(kept[a:b]) if b > a else None)
                 tokens.append(kept)
             n = batch.num_rows
             if not n:
                 continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                names=["id", "n", "digest", "token", "docs"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+                names=["id", "n", "digest", "sketch", "token", "docs"],
             )
             found, counts = np.unique(np.concatenate(tokens), return_counts=True)
             often = counts >= max(8, COMMON * n)
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
-                names=["id", "n", "digest", "token", "docs"],
+                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
+                names=["id", "n", "digest", "sketch", "token", "docs"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest string, token long, docs long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest string, sketch binary, token long, docs long")
 
 
 def _segment_keys(n: int, docs: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, label: np.ndarray, rules: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,28 +188,49 @@ def _keys(kept: np.ndarray, bounds: np.ndarray, common: np.ndarray, table: np.nd
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest node of each key, and edges from it to the key's other nodes: (keys, smallest, a, b)."""
+def _groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order, and where each key's nodes start and how many they are."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     heads = np.flatnonzero(first)
-    lowest = nodes[heads[np.cumsum(first) - 1]] if len(keys) else nodes
-    apart = nodes != lowest
-    pairs = np.unique(np.stack([lowest[apart], nodes[apart]]), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
-    return keys[heads], nodes[heads], pairs[0], pairs[1]
+    return keys, nodes, heads, np.diff(np.append(heads, len(keys)))
+
+
+def _stars(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Edges from the smallest node of each group of more than MANY to its others, two rows."""
+    big = sizes > MANY
+    inside = np.repeat(big, sizes)
+    lowest = np.repeat(nodes[heads], sizes)
+    apart = inside & (nodes != lowest)
+    return np.unique(np.stack([lowest[apart], nodes[apart]]), axis=1)
+
+
+def _pairs(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All pairs of each group of at most MANY nodes, two rows."""
+    out = [np.zeros((2, 0), np.int64)]
+    for size in range(2, MANY + 1):
+        rows = nodes[heads[sizes == size][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        if len(rows):
+            out.append(np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()]), axis=1))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
 _BLOB = ["part", "edges", "x", "y"]
 
 
 def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool) -> DataFrame:
-    """Edges (a, b) between nodes that share a key: of each key, from its smallest node to the others.
+    """Edges (a, b, star) between nodes that share a key: all pairs of few nodes, else from the smallest to the others (star).
 
-    Keys are dealt to parts by value. Within a batch only the smallest node of
-    a key is sent to the key's part, the others get their edge at once, so a
-    key that a third of all documents share brings its part one entry a batch.
+    Keys are dealt to parts by value. Of a key that more than MANY nodes of a
+    batch share, only the smallest is sent, the others get their edge at once,
+    so a key that a third of all documents share brings its part a few entries
+    a batch.
     """
     parts = partitions(docs.sparkSession)
     table = np.zeros(1 << _TABLE_BITS, bool)
@@ -206,14 +249,18 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, t
                 nodes.append(names[owner[keep]])
             if not keys:
                 continue
-            heads, lowest, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
-            part = (heads % np.uint64(parts)).astype(np.int64)
+            key, node, heads, sizes = _groups(np.concatenate(keys), np.concatenate(nodes))
+            edges = _stars(node, heads, sizes)
+            sent = ~np.repeat(sizes > MANY, sizes)
+            sent[heads] = True
+            key, node = key[sent], node[sent]
+            part = (key % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            heads, lowest, part = heads[order], lowest[order], part[order]
+            key, node, part = key[order], node[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, False, heads[i:j].tobytes(), lowest[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
-            if len(a):
-                rows.append((int(batch.num_rows + len(a)) % parts, True, a.tobytes(), b.tobytes()))
+            rows = [(p, False, key[i:j].tobytes(), node[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
+            if edges.shape[1]:
+                rows.append((batch.num_rows % parts, True, edges[0].tobytes(), edges[1].tobytes()))
             if rows:
                 p, e, x, y = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=_BLOB)
@@ -221,12 +268,30 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, t
     def meet(table: pa.Table) -> pa.Table:
         edges = table["edges"].to_numpy()
         read = lambda name, kind, of: np.frombuffer(b"".join(v.as_py() for v, e in zip(table[name], edges) if e == of), kind)
-        _, _, a, b = _stars(read("x", np.uint64, False), read("y", np.int64, False))
-        a, b = np.concatenate([a, read("x", np.int64, True)]), np.concatenate([b, read("y", np.int64, True)])
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        _, node, heads, sizes = _groups(read("x", np.uint64, False), read("y", np.int64, False))
+        stars = np.concatenate([_stars(node, heads, sizes), np.stack([read("x", np.int64, True), read("y", np.int64, True)])], axis=1)
+        pairs = _pairs(node, heads, sizes)
+        both = np.concatenate([stars, pairs], axis=1)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1]), "star": pa.array(np.arange(both.shape[1]) < stars.shape[1])})
 
     blobs = docs.select(text_col).mapInArrow(send, "part int, edges boolean, x binary, y binary")
-    return blobs.groupBy("part").applyInArrow(meet, "a long, b long")
+    return blobs.groupBy("part").applyInArrow(meet, "a long, b long, star boolean").distinct()
+
+
+def near_enough(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): stars as they are, pairs unless sizes or sketches show that they can't be links."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = edges.filter("not star").join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = ((100 - percent) * batch.column(4).to_numpy()) // (100 + percent)
+            keep = [_differing(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(2), batch.column(3), most)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kept = pairs.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(run, "a long, b long")
+    return kept.unionByName(edges.filter("star").select("a", "b"))
 
 
 class Lists:
@@ -359,7 +424,7 @@ def link_components(
         raise ValueError("percent must be between 67 and 100")
     signed = cut(signatures(docs, k, id_col, text_col, lower))
     seen = signed.filter("n is not null").agg(F.count("n").alias("rows"), F.max("n").alias("largest")).first()
-    own = signed.filter("n is not null").select("id", "n", "digest")
+    own = signed.filter("n is not null").select("id", "n", "digest", "sketch")
     if not seen["rows"]:
         return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     often = signed.filter("token is not null").groupBy("token").agg(F.sum("docs").alias("docs"))
@@ -367,11 +432,12 @@ def link_components(
     common = np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
     rules = Sizes(percent, int(seen["largest"]))
 
-    edges = candidate_edges(docs, common, rules, k, text_col, lower)
-    blocks = components(edges).withColumnRenamed("component", "block")
-    classes = own.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     node = F.expr("cast(conv(" + "||".join(f"substring(digest, {i}, 2)" for i in range(15, 0, -2)) + ", 16, -10) as bigint)")
-    members = cut(classes.withColumn("node", node).join(blocks, "node").select("digest", "rep", "block"))
+    classes = own.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", node))
+    edges = near_enough(cut(candidate_edges(docs, common, rules, k, text_col, lower)), classes, percent)
+    blocks = components(edges).withColumnRenamed("component", "block")
+    members = cut(classes.join(blocks, "node").select("digest", "rep", "block"))
     chunks = members.groupBy("block").agg(F.ceil(F.count("digest") / CHUNK).cast("int").alias("chunks"))
     dealt = members.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
 
@@ -424,7 +490,7 @@ def link_components(
         comps = found.filter("chunks = 1").select("digest", "component").unionByName(state)
     lowest = comps.join(classes, "digest").groupBy("component").agg(F.min("rep").alias("lowest"))
     named = comps.join(lowest, "component").select("digest", "lowest")
-    totals = classes.join(named, "digest", "left").select("digest", F.coalesce("lowest", "rep").alias("component_id"))
-    return own.join(totals, "digest", "left").select(
+    totals = cut(classes.join(named, "digest", "left").select("digest", F.coalesce("lowest", "rep").alias("component_id")))
+    return own.drop("sketch").join(totals, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
