@@ -46,6 +46,8 @@ COMMON = 0.002
 CHUNK = 1024
 #: Classes with one key up to which all their pairs are held against sketches.
 MANY = 32
+#: Bitmaps of 32,768 bits by which texts outside of blocks are passed over: 1 MB in all, whatever the input.
+FILTER_BITMAPS = 256
 _CLASS_RATIO = 1.5
 _TABLE_BITS = 20
 
@@ -406,6 +408,20 @@ def _cross_links(sets: DataFrame, queries: DataFrame, comps: DataFrame, percent:
     return index.groupBy("block", "chunk").cogroup(asked.groupBy("q_block", "q_chunk")).applyInArrow(search, "a string, b string")
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be among the wanted ones', before an exact join.
+
+    Hashes of the wanted values set bits of FILTER_BITMAPS bitmaps, which are
+    broadcast. With many values more other rows pass; no wanted one is lost.
+    """
+    h = F.xxhash64(column)
+    bucket, at = F.pmod(h, F.lit(FILTER_BITMAPS)).alias("__bucket"), F.pmod(F.shiftright(h, 8), F.lit(32768)).alias("__at")
+    bits = wanted.select(bucket, at).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    marked = rows.select("*", bucket, at).join(F.broadcast(bits), "__bucket")  # FILTER_BITMAPS rows at most
+    byte = "cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)"
+    return marked.filter(f"(shiftright({byte}, cast(__at % 8 as int)) & 1) = 1").drop("__bucket", "__at", "__bits")
+
+
 def link_components(
     docs: DataFrame, *, k: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -455,7 +471,7 @@ def link_components(
             yield out.filter(keep)
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    shaped = dealt.join(texts, "rep").select("digest", "block", "chunks", "chunk", "text")
+    shaped = dealt.join(_maybe_in(texts, members, "rep"), "rep").select("digest", "block", "chunks", "chunk", "text")
     sets = cut(shaped.mapInArrow(shape, "digest string, block long, chunks int, chunk int, set binary"))
 
     def within(table: pa.Table) -> pa.Table:
