@@ -255,6 +255,25 @@ def test_jaccard_components(spark, monkeypatch, k, percent, chunk):
     assert got == brute_components(texts, k, percent)
 
 
+@pytest.mark.parametrize("common", [jaccard.COMMON, 10.0])
+def test_jaccard_of_groups_in_several_batches(spark, monkeypatch, common):
+    """Copies that link to one text only, more than MANY in each of two batches, with and without common elements."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    base = [f"w{i}" for i in range(200)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 240):
+        w = list(base)
+        for j in rng.choice(33, 3, replace=False) + 33 * (i >= 120):  # other places in each batch
+            w[3 * j + 1] = f"z{i}.{j}"
+        texts[i] = " ".join(w)
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(list(texts.items()), 2), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(frame, k=3, percent=90).collect()}
+    want = brute_components(texts, 3, 90)
+    assert set(want.values()) == {(198, 0)}
+    assert got == want
+
+
 def test_jaccard_of_awkward_rows(awkward, empty):
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], (r["component_id"] or 0)) for r in jaccard.link_components(awkward).collect())
     assert got[:4] == [(0, 1, 0), (1, 15, 1), (2, 15, 1), (2, 15, 1)] and len(got) == len(AWKWARD)

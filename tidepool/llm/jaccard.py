@@ -13,7 +13,8 @@
    don't bind blocks together. Pairs that meet so are held against the parity
    sketches of their sets first: bits that differ are differing elements at
    least, so pairs with more of them than the threshold allows are no links.
-   Where more than MANY classes share a key, each is tied to the smallest.
+   Where more than MANY classes share a key, in one batch or in all, each is
+   tied to the smallest, whatever the sketches say.
 3. Search. In each block, T-occurrence search by DivideSkip: with the lists of
    a set's elements ordered by length, the short ones are heap-merged and what
    occurs in them often enough is looked up in the long ones by binary search.
@@ -203,9 +204,8 @@ def _groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, nodes, heads, np.diff(np.append(heads, len(keys)))
 
 
-def _stars(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Edges from the smallest node of each group of more than MANY to its others, two rows."""
-    big = sizes > MANY
+def _stars(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Edges from the smallest node of each big group to its others, two rows."""
     inside = np.repeat(big, sizes)
     lowest = np.repeat(nodes[heads], sizes)
     apart = inside & (nodes != lowest)
@@ -223,7 +223,7 @@ def _pairs(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
-_BLOB = ["part", "edges", "x", "y"]
+_BLOB = ["part", "edges", "x", "y", "head"]
 
 
 def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool) -> DataFrame:
@@ -232,7 +232,8 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, t
     Keys are dealt to parts by value. Of a key that more than MANY nodes of a
     batch share, only the smallest is sent, the others get their edge at once,
     so a key that a third of all documents share brings its part a few entries
-    a batch.
+    a batch. Such an entry is marked as a head: it stands for nodes that the
+    part doesn't see, so a key with a head gets stars however few its entries.
     """
     parts = partitions(docs.sparkSession)
     table = np.zeros(1 << _TABLE_BITS, bool)
@@ -252,31 +253,35 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, t
             if not keys:
                 continue
             key, node, heads, sizes = _groups(np.concatenate(keys), np.concatenate(nodes))
-            edges = _stars(node, heads, sizes)
-            sent = ~np.repeat(sizes > MANY, sizes)
+            big = sizes > MANY
+            edges = _stars(node, heads, sizes, big)
+            head = np.repeat(big, sizes)
+            sent = ~head
             sent[heads] = True
-            key, node = key[sent], node[sent]
+            key, node, head = key[sent], node[sent], head[sent]
             part = (key % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            key, node, part = key[order], node[order], part[order]
+            key, node, head, part = key[order], node[order], head[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, False, key[i:j].tobytes(), node[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
+            rows = [(p, False, key[i:j].tobytes(), node[i:j].tobytes(), head[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
             if edges.shape[1]:
-                rows.append((batch.num_rows % parts, True, edges[0].tobytes(), edges[1].tobytes()))
+                rows.append((batch.num_rows % parts, True, edges[0].tobytes(), edges[1].tobytes(), b""))
             if rows:
-                p, e, x, y = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=_BLOB)
+                p, e, *blobs = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), *[pa.array(x, pa.binary()) for x in blobs]], names=_BLOB)
 
     def meet(table: pa.Table) -> pa.Table:
         edges = table["edges"].to_numpy()
         read = lambda name, kind, of: np.frombuffer(b"".join(v.as_py() for v, e in zip(table[name], edges) if e == of), kind)
-        _, node, heads, sizes = _groups(read("x", np.uint64, False), read("y", np.int64, False))
-        stars = np.concatenate([_stars(node, heads, sizes), np.stack([read("x", np.int64, True), read("y", np.int64, True)])], axis=1)
-        pairs = _pairs(node, heads, sizes)
+        sent = read("x", np.uint64, False)
+        key, node, heads, sizes = _groups(sent, read("y", np.int64, False))
+        tied = (sizes > MANY) | np.isin(key[heads], sent[read("head", bool, False)])
+        stars = np.concatenate([_stars(node, heads, sizes, tied), np.stack([read("x", np.int64, True), read("y", np.int64, True)])], axis=1)
+        pairs = _pairs(node, heads[~tied], sizes[~tied])
         both = np.concatenate([stars, pairs], axis=1)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1]), "star": pa.array(np.arange(both.shape[1]) < stars.shape[1])})
 
-    blobs = docs.select(text_col).mapInArrow(send, "part int, edges boolean, x binary, y binary")
+    blobs = docs.select(text_col).mapInArrow(send, "part int, edges boolean, x binary, y binary, head binary")
     return blobs.groupBy("part").applyInArrow(meet, "a long, b long, star boolean").distinct()
 
 
