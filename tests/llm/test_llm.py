@@ -165,6 +165,20 @@ def test_sketch_estimates():
     assert fingerprint.likeness(fingerprint.merged(part, other), union) > 0.95
 
 
+def test_sketches_of_repetitive_texts():
+    """Many occurrences of few shingles: nothing is dropped under a threshold that says all is there."""
+    lines = [" ".join(f"v{i}.{j}" for j in range(6)) for i in range(60)]
+    texts = ["\n".join(lines[a:b] * 400) for a, b in ((0, 3), (0, 6), (4, 9), (0, 60))]
+    got = fingerprint.sketches(texts)
+    for text, (limit, own) in zip(texts, got):
+        w = text.split()
+        once = " ".join(w[: len(w) // 400 + 4])  # each shingle once
+        want = fingerprint.sketches([once])[0]
+        assert (limit, own.tolist()) == (want[0], want[1].tolist())
+        assert limit < fingerprint._ALL or len(own) == len(set(zip(*[w[k:] for k in range(5)])))
+    assert len(got[0][1]) == 18 and len(got[1][1]) == fingerprint.LEAST
+
+
 def test_licenses(spark, docs, awkward, empty):
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
     want = {(i, name) for i, text in texts_of(docs).items() for name, all_ in licenses.TEMPLATES.items() if any(t in text for t in all_)}

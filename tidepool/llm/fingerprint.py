@@ -42,11 +42,10 @@ def sketches(texts: list[str], k: int = SHINGLE, fraction: float = FRACTION, lea
         n = len(part.starts)
         docs, hashes = shingles(Hasher(part.data).spans(found.begin, found.end), found, k)
         hashes = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-        # Of long texts enough hashes are below the fraction, but for chance.
-        long_ = np.bincount(docs, minlength=n) > 4 * least / fraction
-        keep = ~long_[docs] | (hashes < limit)
-        few = np.bincount(docs[keep], minlength=n) < 2 * least
-        keep |= few[docs]
+        # Texts with enough distinct hashes below the fraction need no others; repeats don't count.
+        keep = hashes < limit
+        _, bounds = distinct(docs[keep], hashes[keep], n)
+        keep |= (np.diff(bounds) < least)[docs]
         kept, bounds = distinct(docs[keep], hashes[keep], n)
         for low, high in zip(bounds[:-1], bounds[1:]):
             own = kept[low:high]
