@@ -215,6 +215,15 @@ def test_language_model(spark, docs, awkward, empty):
     assert lm.score(empty, *lm.learn(empty)).count() == 0
 
 
+def test_every_position_is_trained_on(spark):
+    texts = spark.createDataFrame([(i, f"w{i}") for i in range(40)], "doc_id long, text string")
+    model, counts = lm.learn(texts)
+    cells = model.look_up(counts.toPandas()["word"].to_numpy().view(np.uint64))[1]
+    # Each word is the context of its text's end, and the end that of each word.
+    assert len(cells) == 41 and (cells >= 0).all()
+    assert model.class_rows[1 + cells].any(axis=1).all()
+
+
 def test_probabilities_add_up(spark, docs):
     model, counts = lm.learn(docs)
     table = counts.toPandas()

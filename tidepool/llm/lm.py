@@ -13,8 +13,8 @@ vocabulary and of one unknown token add up to one.
 Counts are taken over all training texts. Gradients are distributed: in each
 round every trainer goes over its share of a fresh part of the training texts
 with small steps from the common weights, Spark adds up the changes by block,
-and the driver takes their mean. The weights have a fixed size. Of each text
-every STRIDE-th position gives a gradient step.
+and the driver takes their mean. The weights have a fixed size. Every position
+of every training text gives a gradient step.
 
 Scoring runs in batches of positions. Words too rare for the table that each
 task holds (at most TABLE_WORDS entries) are joined to their counts by hash.
@@ -39,7 +39,6 @@ HASHED = 1 << 12
 #: Entries of the count table that each task holds.
 TABLE_WORDS = 1 << 20
 ROUNDS = 2
-STRIDE = 8
 TRAINERS = 16
 _END = np.uint64(0x1B873593CC9E2D51)
 _CLASS_ROWS = 1 + 2 * CELLS + 2 * HASHED
@@ -250,10 +249,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
                 tokens, buckets, owner = _tokens(part)
                 _, ids = _ids(model, tokens, buckets)
                 feature_rows, back = model.features(ids, owner, end)
-                shift = int(tokens[0] % np.uint64(STRIDE)) if len(tokens) else 0
-                chosen = np.arange(shift, len(ids), STRIDE)
-                for low in range(0, len(chosen), 1024):
-                    at = chosen[low : low + 1024]
+                for low in range(0, len(ids), 1024):
+                    at = slice(low, low + 1024)
                     trainer.step(ids[at], [r[at] for r in feature_rows], back[:, at])
         if trainer.n:
             change = np.concatenate([(trainer.a - model.class_rows).ravel(), (trainer.b - model.member_rows).ravel()])
