@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidepool.llm import bpe, fingerprint, jaccard, licenses, lm, mixing, quality, queries, rules, suffixes, toxicity
+from tidepool.llm import bpe, fingerprint, jaccard, licenses, lm, mixing, notices, quality, queries, rules, suffixes, toxicity
 from tidepool.llm.words import slices, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,29 +165,92 @@ def test_sketch_estimates():
     assert fingerprint.likeness(fingerprint.merged(part, other), union) > 0.95
 
 
-def test_sketches_of_repetitive_texts():
-    """Many occurrences of few shingles: nothing is dropped under a threshold that says all is there."""
+def brute_sketch(text, fraction=fingerprint.FRACTION):
+    """Distinct five-word runs whose own hash, taken alone, is below the fraction."""
+    w = WORD.findall(text)
+    runs = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {r for r in runs if len(fingerprint.sketches([r], fraction=fraction)[0].hashes)}, runs
+
+
+def test_likeness_against_brute_force(spark, docs):
+    texts = texts_of(docs)
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in fingerprint.edited_pairs(docs.select("doc_id", "text")).collect()}
+    errors = []
+    for a, b in list(zip(ids, ids[1:] + ids[:1]))[:60]:
+        x, cut = texts[a], len(texts[a]) // 4
+        (s, one), (t, two), (u, three) = (brute_sketch(v) for v in (x, x[: len(x) - cut] + texts[b][:cut], texts[b]))
+        if one != two:
+            assert got[a]["near_edited"] == pytest.approx(len(s & t) / len(s | t) if s | t else 0.0)
+        if one != three:
+            assert got[a]["near_next"] == pytest.approx(len(s & u) / len(s | u) if s | u else 0.0)
+        if len(one) > 100:
+            errors.append(got[a]["near_edited"] - len(one & two) / len(one | two))
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
+
+
+def test_sketches_of_odd_texts():
     lines = [" ".join(f"v{i}.{j}" for j in range(6)) for i in range(60)]
     texts = ["\n".join(lines[a:b] * 400) for a, b in ((0, 3), (0, 6), (4, 9), (0, 60))]
-    got = fingerprint.sketches(texts)
-    for text, (limit, own) in zip(texts, got):
+    for text, sketch in zip(texts, fingerprint.sketches(texts)):
         w = text.split()
-        once = " ".join(w[: len(w) // 400 + 4])  # each shingle once
-        want = fingerprint.sketches([once])[0]
-        assert (limit, own.tolist()) == (want[0], want[1].tolist())
-        assert limit < fingerprint._ALL or len(own) == len(set(zip(*[w[k:] for k in range(5)])))
-    assert len(got[0][1]) == 18 and len(got[1][1]) == fingerprint.LEAST
+        once = fingerprint.sketches([" ".join(w[: len(w) // 400 + 4])])[0]  # each shingle once
+        assert (sketch.limit, sketch.hashes.tolist(), sketch.mark) == (once.limit, once.hashes.tolist(), once.mark)
+    short = fingerprint.sketches(["one two", "one  two", "two one", "", "\n"])
+    assert [fingerprint.likeness(short[0], s) for s in short] == [1.0, 1.0, 0.0, 0.0, 0.0] and fingerprint.likeness(short[3], short[4]) == 1.0
+    long_ = fingerprint.sketches([" ".join(f"w{i}" for i in range(200_000)), ""])
+    assert abs(len(long_[0].hashes) / 200_000 - fingerprint.FRACTION) < 0.01
 
 
 def test_licenses(spark, docs, awkward, empty):
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
-    want = {(i, name) for i, text in texts_of(docs).items() for name, all_ in licenses.TEMPLATES.items() if any(t in text for t in all_)}
-    assert want and got == want
+    want = {(i, name) for i, text in texts_of(docs).items() for name, all_ in notices.SENTENCES.items() if any(t in text for t in all_)}
+    assert want and want <= got and {i for i, _ in got} == {i for i, _ in want}
     damaged = spark.createDataFrame([(1, "x y\nThis wurk is licensed under the GNU General Public License, version 3. z"), (2, "license of the work")], "doc_id long, text string")
     assert [r["license"] for r in licenses.scan(damaged).collect()] == ["GPL-3.0"]
     assert licenses.scan(awkward).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licence_texts_as_projects_have_them(spark):
+    wrap = lambda t: "# " + "\n# ".join(re.findall(r".{1,60}(?:\s|$)", t))
+    rows = [
+        (1, "ISC", "Copyright 2019 A. Author\n\n" + wrap("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")),
+        (2, "GPL-3.0", wrap("my tool - does things. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.")),
+        (3, "BSD-2-Clause", "BSD\n" + wrap(notices.NOTICES["BSD-2-Clause"][0]).replace("COPYRIGHT HOLDERS", "REGENTS")),
+        (4, "BSD-3-Clause", wrap(notices.NOTICES["BSD-3-Clause"][0].replace("the copyright holder nor", "Acme Inc nor"))),
+        (5, "Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+        (6, "", "The licence of the software is free; this notice and the conditions of the work are in the hands of the holders."),
+    ]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert {i: name for i, name, _ in rows if name} == {i: next(iter(x)) for i, x in got.items() if len(x) == 1}
+
+
+def test_damaged_licences_are_retrieved(spark):
+    """Recall against exact containment, of copies with a word in twelve changed."""
+    rng = np.random.default_rng(3)
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda w: set(zip(w, w[1:]))
+    rows, want = [], set()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for _ in range(4):
+                w = [x if rng.random() > 1 / 12 else "zzz" for x in cut(text)]
+                if len(pairs(w) & pairs(cut(text))) >= 0.8 * len(pairs(cut(text))):
+                    want.add(len(rows))
+                rows.append((len(rows), " ".join(["before", "it", *w, "and", "after"])))
+    got = {r["doc_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 40 and len(want & got) >= 0.97 * len(want)
+
+
+def test_licences_by_row(spark):
+    lgpl, gpl = notices.SENTENCES["LGPL-3.0"][0].replace("work", "wurk"), notices.SENTENCES["GPL-3.0"][0]
+    rows = spark.createDataFrame([(None, lgpl), (None, gpl), (7, gpl), (7, gpl), (7, lgpl)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["license"]) for r in licenses.scan(rows).collect())
+    assert got == [(0, "GPL-3.0"), (0, "LGPL-3.0"), (7, "GPL-3.0"), (7, "LGPL-3.0")]
+
+
 def test_language_model(spark, docs, awkward, empty):
     held = queries._remainder(7, 2)
     model, counts = lm.learn(docs, train_rows=~held)
@@ -218,24 +281,53 @@ def test_language_model(spark, docs, awkward, empty):
 def test_every_position_is_trained_on(spark):
     texts = spark.createDataFrame([(i, f"w{i}") for i in range(40)], "doc_id long, text string")
     model, counts = lm.learn(texts)
-    cells = model.look_up(counts.toPandas()["word"].to_numpy().view(np.uint64))[1]
+    own = counts.toPandas()["word"].to_numpy().view(np.uint64)
     # Each word is the context of its text's end, and the end that of each word.
-    assert len(cells) == 41 and (cells >= 0).all()
-    assert model.class_rows[1 + cells].any(axis=1).all()
+    assert len(own) == 41
+    assert model.class_rows[1 + (own % np.uint64(model.hashed)).astype(int)].any(axis=1).all()
+
+
+def test_contexts_grow_with_the_corpus():
+    assert [lm.hashed_rows(n) for n in (0, 10**6, 10**8, 10**10)] == [1 << 12, 1 << 12, 1 << 14, 1 << 17]
 
 
 def test_probabilities_add_up(spark, docs):
     model, counts = lm.learn(docs)
     table = counts.toPandas()
-    cells = model.look_up(table["word"].to_numpy().view(np.uint64))[1]
+    words_ = table["word"].to_numpy().view(np.uint64)
+    cells = model.look_up(words_)[1]
     ids = np.where(cells >= 0, cells, table["bucket"].to_numpy())
-    end = lm._end_cell(model)
-    log_p, log_unknown = model.log_probabilities(ids, np.arange(len(ids)), end, np.r_[True, np.zeros(len(ids) - 1, bool)])
+    log_p, log_unknown = model.log_probabilities(ids, words_, np.arange(len(ids)), np.r_[True, np.zeros(len(ids) - 1, bool)])
     rare = cells < 0
     share = np.where(rare, (table["c"].to_numpy() - model.discount) / np.maximum(model.bucket_tokens[np.minimum(ids, 63)], 1), 1.0)
     assert (10**log_p * share).sum() + 10 ** log_unknown[0] == pytest.approx(1.0, abs=0.02)
 
 
+def test_scores_against_a_plain_model(spark, docs):
+    """The score of a text, token by token, with dense softmaxes in plain numpy."""
+    model, counts = lm.learn(docs)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, model, counts).collect()}
+    known = {np.uint64(np.int64(r["word"])): r for r in counts.collect()}
+    cell_of = dict(zip(model.words.tolist(), model.cells.tolist()))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, text in sorted(texts_of(docs).items())[:12]:
+        (part,) = slices(pa.array([text]), limit=1 << 30)
+        tokens, buckets, _ = lm._tokens(part)
+        total = 0.0
+        for t in range(len(tokens)):
+            before = [tokens[t - k] if t >= k else lm._END for k in (1, 2, 3)]
+            cell = cell_of.get(int(tokens[t]), -1)
+            cell = cell if cell >= 0 else int(buckets[t])
+            rows = model.class_features(np.array([[b] for b in before], np.uint64))
+            p = soft(sum(model.class_rows[r[0]] for r in rows).astype(float))[cell // lm.MEMBERS]
+            rows = model.member_features(np.array([cell // lm.MEMBERS]), np.array([[b] for b in before], np.uint64))
+            p *= soft(sum(model.member_rows[r[0]] for r in rows).astype(float))[cell % lm.MEMBERS]
+            if cell < lm.MEMBERS:
+                p *= (known[tokens[t]]["c"] - model.discount) / model.bucket_tokens[cell]
+            total += math.log10(p)
+        assert got[i] == pytest.approx(total, rel=1e-3)
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts.items():
@@ -297,6 +389,41 @@ def test_jaccard_of_groups_in_several_batches(spark, monkeypatch, common):
     assert got == want
 
 
+@pytest.mark.parametrize("many", [2, 32, 400])
+def test_jaccard_whatever_many_is(spark, monkeypatch, many):
+    """Hundreds of relatives in one batch, their partners in others: the bound on a set's members changes nothing."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "COMMON", 10.0)
+    first, others = [], []
+    for f in range(5):
+        base = [f"f{f}.{j}" for j in range(160)]
+        for i in range(60):  # relatives share most of their words, and reach no threshold with each other
+            w = [x if rng.random() > 0.12 else f"r{f}.{i}.{j}" for j, x in enumerate(base)]
+            first.append((1000 * f + i, " ".join(w)))
+            if i % 20 == 7:
+                near = [*w[:-1], f"near{f}.{i}"]
+                others.append((10_000 + 1000 * f + i, " ".join(near)))
+    padding = [(100_000 + i, " ".join(f"p{rng.integers(2000)}" for _ in range(30))) for i in range(300)]
+    rest = [*others, *padding]
+    parts = [first, *[rest[i::10] for i in range(10)]]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda x: x), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(frame, k=3, percent=90).collect()}
+    want = brute_components(dict([*first, *rest]), 3, 90)
+    assert sum(got[i][1] != i for i, _ in others) == len(others)
+    assert got == want
+
+
+def test_search_by_lists_equals_brute_force():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(60)]
+    lists, n = jaccard.Lists(sets), len(sets)
+    for q in sets:
+        hits = lists.search(q, 70, np.arange(n), np.arange(n) % 2 == 0, set(), n)
+        both = [len(np.intersect1d(q, s)) for s in sets]
+        assert sorted(hits) == [i for i in range(n) if 100 * both[i] >= 70 * (len(q) + len(sets[i]) - both[i])]
+
+
 def test_jaccard_of_awkward_rows(awkward, empty):
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], (r["component_id"] or 0)) for r in jaccard.link_components(awkward).collect())
     assert got[:4] == [(0, 1, 0), (1, 15, 1), (2, 15, 1), (2, 15, 1)] and len(got) == len(AWKWARD)

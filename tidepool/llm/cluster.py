@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Keys that hold more than one part in so many of a table are joined by broadcast.
+HOT = 200
 
 _own_folder: dict[str, str] = {}
 
@@ -16,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _own_folder:
         _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="tidepool-shared-")
     return _own_folder[context.applicationId]
@@ -42,5 +47,24 @@ def discard(df: DataFrame) -> None:
 
 
 def partitions(spark: SparkSession) -> int:
-    """How many pieces keyed work is dealt into: the session's shuffle partitions."""
+    """How many pieces keyed work is dealt into at least: the session's shuffle partitions."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pieces(spark: SparkSession, size: int, each: int) -> int:
+    """How many pieces of about `each` a table of `size` makes, the session's shuffle partitions at least."""
+    return max(partitions(spark), -(-size // each))
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to a table of one row a key, where a key may hold any share of the rows.
+
+    Keys of more than a HOT-th of the rows, HOT at most, are joined by
+    broadcast, the others by shuffle. rows is read three times, so pass a
+    written table.
+    """
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > total / HOT).select(key)
+    hot = cut(table.join(F.broadcast(hot), key))  # HOT rows at most
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

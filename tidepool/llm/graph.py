@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .cluster import cut, discard
+from .cluster import HOT, cut, discard
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,16 +18,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     both = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")))
+    # Edges of hubs, a few nodes with a large share of all, take their labels by broadcast.
+    total = both.count()
+    hubs = cut(both.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > total / HOT).select("y"))  # HOT rows at most
+    apart = both.join(F.broadcast(hubs), "y", "left_anti")
+    around = both.join(F.broadcast(hubs), "y", "left_semi")
     state = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        of = labels.select(F.col("node").alias("y"), "label")
+        near = apart.join(of, "y").unionByName(around.join(F.broadcast(of.join(F.broadcast(hubs), "y", "left_semi")), "y"))
+        near = near.groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("label", "near").alias("label"))
-        far = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = cut(step.join(far, "label").select("node", F.col("far").alias("label")))
+        # Only labels that moved on matter, and most soon rest.
+        far = step.filter("label <> node").select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = cut(step.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
         now = new.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("s")).first()["s"]
         discard(labels)
         labels = new
         if now == state:
             discard(both)
+            discard(hubs)
             return labels.select("node", F.col("label").alias("component"))
         state = now

@@ -10,20 +10,24 @@
    the set, one of which any partner must have. Elements in more than a
    fraction of the documents are left out of segments, which takes away at
    most as many differences, so nothing is lost and common lines and passages
-   don't bind blocks together. Pairs that meet so are held against the parity
-   sketches of their sets first: bits that differ are differing elements at
+   don't bind blocks together. Classes that meet so are listed in sets of at
+   most MANY, one row a member. Within a set, pairs are held against the parity
+   sketches of their elements: bits that differ are differing elements at
    least, so pairs with more of them than the threshold allows are no links.
-   Where more than MANY classes share a key, in one batch or in all, each is
-   tied to the smallest, whatever the sketches say.
-3. Search. In each block, T-occurrence search by DivideSkip: with the lists of
-   a set's elements ordered by length, the short ones are heap-merged and what
-   occurs in them often enough is looked up in the long ones by binary search.
-   Sets that are already connected aren't compared again, so a group of
-   thousands of near copies costs no pairs. Blocks of more than CHUNK classes
-   are searched in chunks; then one class of every component that was found
-   searches the other chunks, and last every class outside the largest
-   component of its block searches all of them. A pair not compared in these
-   rounds is connected already, so components are exact without any cap.
+   A set leaves a spanning forest of the other pairs, so rows grow with the
+   members, never with their pairs. Where more than MANY classes share a key,
+   in one batch or in all, each is tied to the smallest, whatever the sketches
+   say; MANY decides how much is compared later, not what is found.
+3. Search. In each block, T-occurrence search by DivideSkip: of the lists of a
+   set's elements, the short ones are heap-merged, and what occurs in them
+   often enough is looked up in the long ones by binary search. The first
+   sets of components are tried before the others, and sets that are already
+   connected are passed over, so a group of thousands of near copies costs no
+   pairs. Blocks of more than CHUNK classes are searched in chunks; then one
+   class of every component that was found searches the other chunks, and last
+   every class outside the largest component of its block searches all of
+   them. A pair not compared in these rounds is connected already, so
+   components are exact without any cap.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .cluster import cut, partitions
+from .cluster import cut, discard, look_up, pieces
 from .graph import components
 from .words import Hasher, distinct, mix, shingles, slices, words
 
@@ -45,8 +49,10 @@ from .words import Hasher, distinct, mix, shingles, slices, words
 COMMON = 0.002
 #: Classes of a block that are searched in one task.
 CHUNK = 1024
-#: Classes with one key up to which all their pairs are held against sketches.
+#: Classes in one set up to which their pairs are held against sketches. Only speed depends on it.
 MANY = 32
+#: Documents for which keys go to one part, about.
+ROWS_A_PART = 100_000
 #: Bitmaps of 32,768 bits by which texts outside of blocks are passed over: 1 MB in all, whatever the input.
 FILTER_BITMAPS = 256
 _CLASS_RATIO = 1.5
@@ -100,12 +106,19 @@ def _sketch(own: np.ndarray) -> bytes:
     return np.packbits(odd & 1).tobytes()
 
 
+def _folded(sketch: bytes, size: int) -> int:
+    """A sketch at `size` bytes: a position modulo the smaller number of bits."""
+    bits, out = 8 * len(sketch), int.from_bytes(sketch, "little")
+    while bits > 8 * size:
+        bits //= 2
+        out = (out >> bits) ^ (out & ((1 << bits) - 1))
+    return out
+
+
 def _differing(a: bytes, b: bytes) -> int:
     """Elements in which two sets differ at least."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    if len(y) > len(x):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)  # a position modulo the smaller size
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return (_folded(a, size) ^ _folded(b, size)).bit_count()
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool) -> DataFrame:
@@ -212,22 +225,46 @@ def _stars(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, big: np.ndar
     return np.unique(np.stack([lowest[apart], nodes[apart]]), axis=1)
 
 
-def _pairs(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All pairs of each group of at most MANY nodes, two rows."""
-    out = [np.zeros((2, 0), np.int64)]
-    for size in range(2, MANY + 1):
-        rows = nodes[heads[sizes == size][:, None] + np.arange(size)]
-        i, j = np.triu_indices(size, 1)
-        if len(rows):
-            out.append(np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()]), axis=1))
-    return np.unique(np.concatenate(out, axis=1), axis=1)
+def _sets_of(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, node) of groups of at most MANY nodes: all groups that hang together as one set, if those are at most MANY nodes, else each group.
+
+    A set is named by a hash of its members, so the same set has the same name
+    in every part.
+    """
+    apart = sizes > 1
+    heads, sizes = heads[apart], sizes[apart]
+    if not len(heads):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.repeat(heads, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    group = np.repeat(np.arange(len(heads)), sizes)
+    known, member = np.unique(nodes[at], return_inverse=True)
+    label = np.arange(len(known))
+    while True:  # the smallest label of a group for its members, until none changes
+        low = np.minimum.reduceat(label[member], np.cumsum(sizes) - sizes)
+        new = label.copy()
+        np.minimum.at(new, member, low[group])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    whole = np.bincount(label, minlength=len(known)) <= MANY
+    large = ~whole[label[member]]
+    kind = np.concatenate([label[whole[label]], len(known) + group[large]])
+    node = np.concatenate([known[whole[label]], nodes[at][large]])
+    order = np.lexsort((node, kind))
+    kind, node = kind[order], node[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(kind) != 0])
+    name = mix(np.add.reduceat(mix(node.view(np.uint64)), starts)).view(np.int64)
+    rows = np.stack([np.repeat(name, np.diff(np.append(starts, len(kind)))), node])
+    rows = np.unique(rows, axis=1)
+    return rows[0], rows[1]
 
 
 _BLOB = ["part", "edges", "x", "y", "head"]
 
 
-def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool) -> DataFrame:
-    """Edges (a, b, star) between nodes that share a key: all pairs of few nodes, else from the smallest to the others (star).
+def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool, parts: int) -> DataFrame:
+    """(a, b, star): edges a, b of nodes that share a crowded key (star), and members b of the sets a that share a key.
 
     Keys are dealt to parts by value. Of a key that more than MANY nodes of a
     batch share, only the smallest is sent, the others get their edge at once,
@@ -235,7 +272,6 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, t
     a batch. Such an entry is marked as a head: it stands for nodes that the
     part doesn't see, so a key with a head gets stars however few its entries.
     """
-    parts = partitions(docs.sparkSession)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[(common >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
@@ -277,101 +313,125 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, t
         key, node, heads, sizes = _groups(sent, read("y", np.int64, False))
         tied = (sizes > MANY) | np.isin(key[heads], sent[read("head", bool, False)])
         stars = np.concatenate([_stars(node, heads, sizes, tied), np.stack([read("x", np.int64, True), read("y", np.int64, True)])], axis=1)
-        pairs = _pairs(node, heads[~tied], sizes[~tied])
-        both = np.concatenate([stars, pairs], axis=1)
+        both = np.concatenate([stars, np.stack(_sets_of(node, heads[~tied], sizes[~tied]))], axis=1)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1]), "star": pa.array(np.arange(both.shape[1]) < stars.shape[1])})
 
     blobs = docs.select(text_col).mapInArrow(send, "part int, edges boolean, x binary, y binary, head binary")
     return blobs.groupBy("part").applyInArrow(meet, "a long, b long, star boolean").distinct()
 
 
-def near_enough(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b): stars as they are, pairs unless sizes or sketches show that they can't be links."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = edges.filter("not star").join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
+def _forest(nodes: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect the nodes as all pairs do that may be links by size and sketch."""
+    root = list(range(len(nodes)))
+    out = []
+    for j in range(1, len(nodes)):
+        for i in range(j):
+            if root[i] == root[j] or nodes[i] == nodes[j]:
+                continue
+            low, high = sorted((sizes[i], sizes[j]))
+            if 100 * low < percent * high or _differing(sketches[i], sketches[j]) > (100 - percent) * (low + high) // (100 + percent):
+                continue
+            out.append((nodes[i], nodes[j]))
+            old, new = root[j], root[i]
+            root = [new if r == old else r for r in root]
+    return out
+
+
+def near_enough(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): stars as they are, and a spanning forest of what may be links in each set of at most MANY (or of two sets of one name)."""
+    members = found.filter("not star").select(F.col("a").alias("set"), F.col("b").alias("node")).join(classes.select("node", "n", "sketch"), "node")
+    sets = members.groupBy("set").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("m")).filter(F.size("m") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = ((100 - percent) * batch.column(4).to_numpy()) // (100 + percent)
-            keep = [_differing(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(2), batch.column(3), most)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            lists = batch.column(0)
+            cuts = lists.offsets.to_pylist()
+            node, n, sketch = (lists.values.field(i).to_pylist() for i in range(3))
+            edges = [e for a, b in zip(cuts[:-1], cuts[1:]) for e in _forest(node[a:b], n[a:b], sketch[a:b], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    kept = pairs.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(run, "a long, b long")
-    return kept.unionByName(edges.filter("star").select("a", "b"))
+    return sets.select("m").mapInArrow(run, "a long, b long").unionByName(found.filter("star").select("a", "b"))
 
 
 class Lists:
     """Inverted lists of a chunk of sets."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
         self.postings = owner[order]
         self.tokens, self.begin = np.unique(tokens[order], return_index=True)
         self.end = np.append(self.begin[1:], len(tokens))
+        # (list, entry) as one ascending number, so that many lists are probed by one binary search.
+        self.places = np.repeat(np.arange(len(self.tokens)), self.end - self.begin) * np.int64(max(1, len(sets))) + self.postings
         self.longest = int((self.end - self.begin).max()) if len(self.tokens) else 0
 
-    def search(self, query: np.ndarray, percent: int, skip) -> Iterator[int]:
-        """Sets that reach the threshold with the query; skip(sets) tells which need no look, and is asked again after each hit."""
+    def search(self, query: np.ndarray, percent: int, label: np.ndarray, first: np.ndarray, joined: set[int], limit: int) -> list[int]:
+        """Sets before `limit` that reach the threshold with the query, at most one of each label, none of the labels in `joined`.
+
+        Sets that are the first of their label are tried before the others.
+        The labels of the sets found are added to `joined`.
+        """
         if not len(self.tokens):
-            return
+            return []
         spot = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
-        has = self.tokens[spot] == query
-        spot, own = spot[has], query[has]
+        spot = spot[self.tokens[spot] == query]
         need = -(-len(query) * percent // 100)
         if len(spot) < need:
-            return
-        length = self.end[spot] - self.begin[spot]
-        order = np.argsort(length, kind="stable")
-        long_ = min(need - 1, int(need / (0.0085 * np.log2(self.longest + 1) + 1)))
-        short = order[: len(order) - long_]
-        probes = np.sort(own[order[len(order) - long_ :]])
-        lists = [self.postings[self.begin[i] : self.end[i]] for i in spot[short]]
-        found, counts = _merge(lists, need - long_)
-        left = np.ones(len(found), bool)
-        left &= 100 * np.minimum(self.sizes[found], len(query)) >= percent * np.maximum(self.sizes[found], len(query))
-        left &= ~skip(found)
-        while left.any():
-            i = int(np.flatnonzero(left)[0])
-            left[i] = False
-            y = int(found[i])
-            other = self.sets[y]
-            at = np.minimum(np.searchsorted(other, probes), len(other) - 1)
-            both = int(counts[i]) + int((other[at] == probes).sum())
-            if 100 * both >= percent * (len(query) + len(other) - both):
-                yield y
-                left &= ~skip(found)
-
-
-def _merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries that occur in at least `least` of the ascending lists, and in how many."""
-    if sum(map(len, lists)) > 2000:
-        found, counts = np.unique(np.concatenate(lists), return_counts=True)
-    else:
-        names, times = [], []
-        for x in heapq.merge(*[x.tolist() for x in lists]):
-            if names and names[-1] == x:
-                times[-1] += 1
-            else:
-                names.append(x)
-                times.append(1)
-        found, counts = np.array(names, np.int64), np.array(times, np.int64)
-    keep = counts >= least
-    return found[keep], counts[keep]
+            return []
+        spot = spot[np.argsort(self.end[spot] - self.begin[spot], kind="stable")]
+        n_long = min(need - 1, int(need / (0.0085 * np.log2(self.longest + 1) + 1)))
+        short, long_ = spot[: len(spot) - n_long], spot[len(spot) - n_long :] * np.int64(len(self.sizes))
+        fits = 100 * np.minimum(self.sizes, len(query)) >= percent * np.maximum(self.sizes, len(query))
+        fits[limit:] = False
+        out = []
+        for leading in (True, False):
+            wanted = fits & (first == leading)
+            if joined:
+                wanted &= ~np.isin(label, list(joined))
+            if not wanted.any():
+                continue
+            lists = [self.postings[a:b] for a, b in zip(self.begin[short], self.end[short])]
+            for y, times in _merged([x[wanted[x]].tolist() for x in lists], need - n_long):
+                if int(label[y]) in joined:
+                    continue
+                probes = long_ + y
+                at = np.minimum(np.searchsorted(self.places, probes), len(self.places) - 1)
+                both = times + int((self.places[at] == probes).sum())
+                if 100 * both >= percent * (len(query) + int(self.sizes[y]) - both):
+                    out.append(y)
+                    joined.add(int(label[y]))
+        return out
+
+
+def _merged(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """Entries that occur in at least `least` of the ascending lists, and in how many, by a heap of the lists' heads."""
+    last, times = -1, 0
+    for x in heapq.merge(*[x for x in lists if x]):
+        if x == last:
+            times += 1
+            continue
+        if times >= least:
+            yield last, times
+        last, times = x, 1
+    if times >= least:
+        yield last, times
 
 
 def _search_chunk(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """A label for each set: the position of the first one that it is connected to."""
     lists = Lists(sets)
-    label = np.arange(len(sets))
+    label, first = np.arange(len(sets)), np.ones(len(sets), bool)
     for q in range(1, len(sets)):
-        for y in lists.search(sets[q], percent, lambda ys, q=q: (ys >= q) | (label[ys] == label[q])):
-            a, b = sorted((int(label[y]), int(label[q])))
-            label[label == b] = a
+        joined: set[int] = set()
+        lists.search(sets[q], percent, label, first, joined, q)
+        if joined:
+            low = min(joined)
+            label[np.isin(label, list(joined))] = low
+            label[q] = low
+            first = label == np.arange(len(sets))
     return label
 
 
@@ -389,28 +449,37 @@ def _by_digest(table: pa.Table) -> pa.Table:
 
 
 def _cross_links(sets: DataFrame, queries: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the query classes to classes of other components, in all chunks of their blocks."""
+    """Links (a, b) of the query classes to classes of other components, in all chunks of their blocks.
+
+    Queries are dealt into pieces too where there are many, so that a task
+    holds one chunk and some chunks' worth of queries at most.
+    """
     index = sets.join(comps, "digest")
-    asked = index.join(queries, "digest").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("digest", "component", "set", "block", "chunk")])
+    few = queries.count() <= 4 * CHUNK
+    piece = F.lit(1) if few else F.ceil(F.col("chunks") / 4).cast("int")
+    asked = index.join(queries, "digest").withColumn("piece", F.pmod(F.xxhash64("digest", F.lit(1)), piece).cast("int"))
+    asked = asked.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("digest", "component", "set", "block", "chunk", "piece")])
+    index = index.withColumn("piece", F.explode(F.sequence(F.lit(0), piece - 1)))
 
     def search(_, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
         if not left.num_rows or not right.num_rows:
             return empty
         left, right = _by_digest(left), _by_digest(right.rename_columns([c.removeprefix("q_") for c in right.column_names]))
-        names, comp = left["digest"].to_pylist(), np.array(left["component"].to_pylist(), object)
+        names, numbers = left["digest"].to_pylist(), {}
+        label = np.array([numbers.setdefault(c, len(numbers)) for c in left["component"].to_pylist()])
+        first = np.zeros(len(label), bool)
+        first[np.unique(label, return_index=True)[1]] = True
         lists = Lists(_read(left["set"]))
         a, b = [], []
         for name, mine, query in zip(right["digest"].to_pylist(), right["component"].to_pylist(), _read(right["set"])):
-            done = {mine}
-            for y in lists.search(query, percent, lambda ys, done=done: np.array([comp[i] in done for i in ys], bool)):
-                done.add(comp[y])
-                a.append(name)
-                b.append(names[y])
+            hits = lists.search(query, percent, label, first, {numbers[mine]} if mine in numbers else set(), len(label))
+            a += [name] * len(hits)
+            b += [names[y] for y in hits]
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    return index.groupBy("block", "chunk").cogroup(asked.groupBy("q_block", "q_chunk")).applyInArrow(search, "a string, b string")
+    return index.groupBy("block", "chunk", "piece").cogroup(asked.groupBy("q_block", "q_chunk", "q_piece")).applyInArrow(search, "a string, b string")
 
 
 def _maybe_in(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -438,7 +507,8 @@ def link_components(
     by links, the own id included. Null, empty and wordless texts have no
     shingles and link with nothing. Rows with a null id take part with the
     smallest non-null id of their component, or null. Repeated rows are equal
-    documents. An empty table gives no rows. percent must be at least 67.
+    documents. Ids may be of any type that can be ordered. An empty table gives
+    no rows. percent must be at least 67.
     Elements are compared by 64-bit hash, classes by a 128-bit one.
     """
     if not 67 <= percent <= 100:
@@ -456,7 +526,8 @@ def link_components(
     node = F.expr("cast(conv(" + "||".join(f"substring(digest, {i}, 2)" for i in range(15, 0, -2)) + ", 16, -10) as bigint)")
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", node))
-    edges = near_enough(cut(candidate_edges(docs, common, rules, k, text_col, lower)), classes, percent)
+    met = cut(candidates(docs, common, rules, k, text_col, lower, pieces(docs.sparkSession, seen["rows"], ROWS_A_PART)))
+    edges = near_enough(met, classes, percent)
     blocks = components(edges).withColumnRenamed("component", "block")
     members = cut(classes.join(blocks, "node").select("digest", "rep", "block"))
     chunks = members.groupBy("block").agg(F.ceil(F.count("digest") / CHUNK).cast("int").alias("chunks"))
@@ -509,9 +580,11 @@ def link_components(
                 .select("digest", F.coalesce("component", "digest").alias("component"))
             )
         comps = found.filter("chunks = 1").select("digest", "component").unionByName(state)
-    lowest = comps.join(classes, "digest").groupBy("component").agg(F.min("rep").alias("lowest"))
-    named = comps.join(lowest, "component").select("digest", "lowest")
+    lowest = cut(comps.join(classes, "digest").groupBy("component").agg(F.min("rep").alias("lowest")))
+    named = look_up(comps, lowest, "component").select("digest", "lowest")
     totals = cut(classes.join(named, "digest", "left").select("digest", F.coalesce("lowest", "rep").alias("component_id")))
+    for table in (met, members, sets, found, lowest, classes):
+        discard(table)
     return own.drop("sketch").join(totals, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
