@@ -1,20 +1,21 @@
 """Threshold-scaled sketches of documents, compared without their texts.
 
 A document's shingles (runs of five words) are hashed, and every hash below a
-fixed fraction of the hash range is retained. So the sketch grows with the
-text, sketches of very unequal documents can be compared and merged, and a
-shorter one's containment in a longer one is estimated without bias. A text
-with few hashes below the fraction keeps its LEAST smallest hashes under a
-threshold of its own; two sketches are compared below the lower threshold.
-
-A fingerprint is a string: the threshold in hex, a colon, then the hashes in
-ascending order, twelve hex digits each.
+fixed fraction of the hash range is retained, whatever the text's length. So
+the sketch grows with the text, sketches of very unequal documents can be
+compared and merged, and a shorter one's containment in a longer one is
+estimated without bias. A short text may keep no hash at all; a mark of its
+whole shingle set then tells whether another such text is equal.
+
+A fingerprint is a string: the threshold in hex, the mark, then the hashes in
+ascending order, twelve hex digits each, with colons between the three.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,55 +23,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .cluster import partitions
-from .words import Hasher, distinct, shingles, slices, words
+from .words import Hasher, distinct, mix, shingles, slices, words
 
 SHINGLE = 5
-FRACTION = 1 / 16
-LEAST = 32
+#: Share of the hash range that sketches retain.
+FRACTION = 1 / 4
 _BITS = 48
 _ALL = 1 << _BITS
 
-Sketch = tuple[int, np.ndarray]
 
+class Sketch(NamedTuple):
+    """Hashes below limit, ascending; mark names the whole shingle set (empty where it isn't known)."""
 
-def sketches(texts: list[str], k: int = SHINGLE, fraction: float = FRACTION, least: int = LEAST) -> list[Sketch]:
-    """(threshold, ascending hashes below it) of each text; a text without words has no hashes."""
+    limit: int
+    hashes: np.ndarray
+    mark: str
+
+
+def sketches(texts: list[str], k: int = SHINGLE, fraction: float = FRACTION) -> list[Sketch]:
+    """The sketch of each text; a text without words has no hashes."""
     limit = int(_ALL * fraction)
     out: list[Sketch] = []
     for part in slices(pa.array(texts, pa.large_string())):
         found = words(part)
         n = len(part.starts)
         docs, hashes = shingles(Hasher(part.data).spans(found.begin, found.end), found, k)
-        hashes = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-        # Texts with enough distinct hashes below the fraction need no others; repeats don't count.
-        keep = hashes < limit
-        _, bounds = distinct(docs[keep], hashes[keep], n)
-        keep |= (np.diff(bounds) < least)[docs]
-        kept, bounds = distinct(docs[keep], hashes[keep], n)
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            own = kept[low:high]
-            below = int(np.searchsorted(own, limit))
-            if below >= least:
-                out.append((limit, own[:below]))
-            elif len(own) <= least:
-                out.append((_ALL, own))
-            else:
-                out.append((int(own[least]), own[:least]))
+        hashes, bounds = distinct(docs, hashes >> np.uint64(64 - _BITS), n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes))])
+        below = hashes < np.uint64(limit)
+        own = hashes[below].astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(below)])[bounds]
+        marks = (total[bounds[1:]] - total[bounds[:-1]]).tolist()
+        out += [Sketch(limit, own[cuts[i] : cuts[i + 1]], f"{marks[i]:016x}") for i in range(n)]
     return out
 
 
 def to_text(sketch: Sketch) -> str:
-    return f"{sketch[0]:x}:" + sketch[1].astype(">i8").tobytes().hex(" ", 8)[4:].replace(" 0000", "") if len(sketch[1]) else f"{sketch[0]:x}:"
+    digits = sketch.hashes.astype(">i8").tobytes().hex(" ", 8)[4:].replace(" 0000", "") if len(sketch.hashes) else ""
+    return f"{sketch.limit:x}:{sketch.mark}:{digits}"
 
 
 def from_text(text: str) -> Sketch:
-    limit, _, digits = text.partition(":")
-    return int(limit, 16), np.array([int(digits[i : i + 12], 16) for i in range(0, len(digits), 12)], np.int64)
+    limit, mark, digits = text.split(":")
+    return Sketch(int(limit, 16), np.array([int(digits[i : i + 12], 16) for i in range(0, len(digits), 12)], np.int64), mark)
 
 
 def _shared(a: Sketch, b: Sketch) -> tuple[int, int, int]:
-    limit = min(a[0], b[0])
-    x, y = a[1][: np.searchsorted(a[1], limit)], b[1][: np.searchsorted(b[1], limit)]
+    limit = min(a.limit, b.limit)
+    x, y = a.hashes[: np.searchsorted(a.hashes, limit)], b.hashes[: np.searchsorted(b.hashes, limit)]
     if not len(x) or not len(y):
         return 0, len(x), len(y)
     spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -78,22 +78,26 @@ def _shared(a: Sketch, b: Sketch) -> tuple[int, int, int]:
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
-    """Estimated Jaccard similarity of the shingle sets; two empty sets are alike."""
+    """Estimated Jaccard similarity of the shingle sets; sets of one mark are equal, and of two sets without hashes nothing else is known (0)."""
+    if a.mark and a.mark == b.mark:
+        return 1.0
     both, x, y = _shared(a, b)
-    return both / (x + y - both) if x + y else 1.0
+    return both / (x + y - both) if x + y else 0.0
 
 
 def containment(a: Sketch, b: Sketch) -> float:
-    """Estimated share of a's shingles that b has; an empty set is contained in any."""
+    """Estimated share of a's shingles that b has; 1 for sets of one mark, else 0 where a has no hashes."""
+    if a.mark and a.mark == b.mark:
+        return 1.0
     both, x, _ = _shared(a, b)
-    return both / x if x else 1.0
+    return both / x if x else 0.0
 
 
 def merged(a: Sketch, b: Sketch) -> Sketch:
-    """The sketch of the union of two shingle sets."""
-    limit = min(a[0], b[0])
-    union = np.union1d(a[1], b[1])
-    return limit, union[: np.searchsorted(union, limit)]
+    """The sketch of the union of two shingle sets; its mark isn't known."""
+    limit = min(a.limit, b.limit)
+    union = np.union1d(a.hashes, b.hashes)
+    return Sketch(limit, union[: np.searchsorted(union, limit)], "")
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
@@ -110,7 +114,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
 def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, __bucket, __ahead): buckets of consecutive ids, each with the first rows of the next bucket as a look ahead.
 
-    Bucket bounds are quantiles of the ids, one for each partition; the first
+    Each bucket is a partition. Bucket bounds are quantiles of the ids, one for each partition; the first
     id of each bucket comes to the driver, as many numbers as there are
     partitions. The text is shuffled once. Null ids are the smallest.
     """
@@ -139,7 +143,7 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long")
     dealt = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), key.alias("__key"))
     dealt = dealt.select(id_col, text_col, "__key", F.posexplode(targets("__key")).alias("__ahead", "__bucket"))
-    return dealt.repartition(n, "__bucket").sortWithinPartitions("__bucket", "__ahead", "__key", text_col)
+    return dealt.repartitionById(n, F.col("__bucket")).sortWithinPartitions("__bucket", "__ahead", "__key", text_col)
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
