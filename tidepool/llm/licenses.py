@@ -1,12 +1,12 @@
 """License scans: MinHash bands over overlapping windows find templates, exact containment confirms them.
 
 A text is its words in lower case (runs of letters and digits), a shingle two
-neighbouring words. Texts are covered by overlapping windows of WINDOW words,
-one at every second word; templates by windows at every word. So a template
-of WINDOW + 1 words or more that stands intact in a text has a window that
-equals one of its own, and equal windows agree in every MinHash. With BANDS
-bands of ROWS hashes a window of similarity s is found with probability
-1 - (1 - s^ROWS)^BANDS, and a damaged template still has many windows.
+neighbouring words. Texts and templates are covered by windows of WINDOW words,
+one at every word. A window has BANDS MinHash values, each a band of its own
+(one row), so two windows whose shingle sets have the Jaccard similarity s meet
+in a band with probability 1 - (1 - s)^BANDS: 0.94 at 0.5 and 0.97 at 0.6, what
+a changed word at a window's edge leaves. Equal windows always meet, so a
+template of which WINDOW neighbouring words are whole is always retrieved.
 A band that is known retrieves the templates that have it; then the exact
 shingle containment of the template in the text around the window decides.
 All of it is native expressions; templates are a fixed list, so their bands
@@ -20,98 +20,95 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-WINDOW = 4
-STEP = 2
-BANDS, ROWS = 2, 2
+from .notices import NOTICES, SENTENCES
+
+WINDOW = 5
+BANDS = 4
 LEAST_CONTAINMENT = 0.8
+#: Masks that make the orders of the MinHash values: shingle hashes are compared after an exclusive or.
+_MASKS = [0, 0x5A5A5A5A5A5A5A5A, 0x3C96C33C69963CC3, 0x71C71C71C71C71C7]
 
-# Sentences by which texts name their licence, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
-}
+#: Texts that show a licence, by SPDX identifier.
+TEMPLATES = {name: [*SENTENCES.get(name, []), *NOTICES.get(name, [])] for name in sorted({*SENTENCES, *NOTICES})}
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _shingles(words: Column) -> Column:
-    """Hash of each pair of neighbouring words."""
-    return F.when(
-        F.size(words) >= 2, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _shingles(words: str) -> Column:
+    """Hash of each pair of neighbouring words of a column. Neighbours come by zipping, as a lambda would compute the array anew for each place."""
+    both = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    return F.slice(both, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+
+
+def _ordered(shingles: str, mask: int) -> Column:
+    return F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(mask)))
 
 
-def _permuted(shingles: Column, seed: int) -> Column:
-    return F.transform(shingles, lambda x: F.xxhash64(x, F.lit(seed)))
+def _lowest(values: str, step: int) -> Column:
+    """The lower of each value and the one `step` places on."""
+    return F.zip_with(values, F.slice(values, F.lit(1 + step), F.greatest(F.size(values), F.lit(1))), lambda a, b: F.least(a, b))
 
 
-def _lowest(hashes: Column, at: Column, width: int) -> Column:
-    return F.least(*[F.get(hashes, at + j) for j in range(width)])
+def _bands(table: DataFrame, shingles: str) -> DataFrame:
+    """Add __b0 .. : at each place, the MinHash of the WINDOW - 1 shingles from there, by doubling; the last windows are shorter."""
+    for b in range(BANDS):
+        table = table.withColumn(f"__b{b}", _ordered(shingles, _MASKS[b]))
+    for step in (1, 2):
+        table = table.withColumns({f"__b{b}": _lowest(f"__b{b}", step) for b in range(BANDS)})
+    return table
 
 
-def _band(permuted: list[Column], at: Column, band: int) -> Column:
-    """Hash of a window's MinHash values in one band."""
-    return F.xxhash64(F.lit(band), *[_lowest(permuted[band * ROWS + r], at, WINDOW - 1) for r in range(ROWS)])
+def _banded(b: int, whole: Column) -> Column:
+    return F.transform(F.slice(f"__b{b}", F.lit(1), whole), lambda v: F.struct(F.lit(b).alias("band"), v.alias("value")))
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """(license, template, words, shingles, band): one row for each band of each window of each template. Templates shorter than a window are refused."""
+    """(license, template, shingles, band, value): one row for each MinHash value of each whole window; a template shorter than a window is one."""
     rows = [(name, text) for name, texts in (templates or TEMPLATES).items() for text in texts]
-    table = spark.createDataFrame(rows, "license string, template string").withColumn("words", _words(F.col("template")))
-    short = [r["template"] for r in table.filter(F.size("words") <= WINDOW).collect()]
-    if short:
-        raise ValueError(f"templates of {WINDOW} words or less: {short}")
-    table = table.withColumn("shingles", _shingles(F.col("words")))
-    for s in range(BANDS * ROWS):
-        table = table.withColumn(f"p{s}", _permuted(F.col("shingles"), s))
-    permuted = [F.col(f"p{s}") for s in range(BANDS * ROWS)]
-    bands = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.array(*[_band(permuted, i, b) for b in range(BANDS)])))
-    return table.select("license", "template", "words", F.array_distinct("shingles").alias("shingles"), F.explode(bands).alias("band")).distinct()
+    table = spark.createDataFrame(rows, "license string, template string").withColumn("words", _words(F.col("template"))).withColumn("shingles", _shingles("words"))
+    table = _bands(table, "shingles")
+    whole = F.greatest(F.lit(1), F.size("shingles") - (WINDOW - 2))
+    found = F.flatten(F.array(*[_banded(b, whole) for b in range(BANDS)]))
+    return table.select("license", "template", F.array_distinct("shingles").alias("shingles"), F.explode(found).alias("x")).select("license", "template", "shingles", "x.*").distinct()
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_CONTAINMENT) -> DataFrame:
-    """(id_col, license, containment, n_places) for each licence that a whole text names.
+    """(id_col, license, containment, n_places) for each licence that a whole text shows.
 
     containment is the best share of a template's distinct shingles in the
     words around a retrieved window; n_places counts the retrieved windows that
-    reach `least` and that no other template fits better. Null, empty and unlicensed texts give no rows; repeated rows
-    of docs give repeated results added up under their id; null ids are one id.
+    reach `least` and that no other template fits better (of equally good ones
+    the longest, and of equally long ones all). Null, empty and unlicensed
+    texts give no rows. A row is known by its id and text: rows of one id (or
+    of none) and different texts have results of their own, equal rows share
+    one. Other columns are ignored.
     """
-    table = template_table(docs.sparkSession, templates)
-    found = [(r["license"], r["template"], r["words"], r["shingles"], r["band"]) for r in table.collect()]  # a fixed list
-    known = sorted({r[4] for r in found})
-    small = docs.sparkSession.createDataFrame(
-        [(r[4], r[0], r[1], len(r[2]), r[3]) for r in found], "band long, license string, template string, size int, wanted array<bigint>"
+    spark = docs.sparkSession
+    found = template_table(spark, templates).collect()  # a fixed list
+    known = [sorted({r["value"] for r in found if r["band"] == b}) for b in range(BANDS)]
+    small = spark.createDataFrame(
+        [(r["band"], r["value"], r["license"], r["template"], len(r["shingles"]), r["shingles"]) for r in found],
+        "band int, value long, license string, template string, size int, wanted array<bigint>",
     )
-    rows = docs.select(F.col(id_col), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("__words"))
-    rows = rows.withColumn("__shingles", _shingles(F.col("__words"))).drop("__words")
-    for s in range(BANDS * ROWS):
-        rows = rows.withColumn(f"__p{s}", _permuted(F.col("__shingles"), s))
-    permuted = [F.col(f"__p{s}") for s in range(BANDS * ROWS)]
-    windows = F.when(F.size("__shingles") >= WINDOW - 1, F.sequence(F.lit(0), F.size("__shingles") - (WINDOW - 1), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(windows, lambda i: reduce(or_, [_band(permuted, i, b).isin(known) for b in range(BANDS)]))
-    # An outer explode: a filter on the hits would be pushed below the columns they are made of and compute those anew for every window.
-    retrieved = rows.select(id_col, "__shingles", F.explode_outer(hits).alias("__at")).filter(F.col("__at").isNotNull())
-    window = F.slice("__shingles", F.col("__at") + 1, F.lit(WINDOW - 1))
-    own = [_permuted(window, s) for s in range(BANDS * ROWS)]
-    bands = F.array(*[_band(own, F.lit(0), b) for b in range(BANDS)])
-    retrieved = retrieved.select(id_col, "__shingles", "__at", F.explode(bands).alias("band"))
-    matched = retrieved.join(F.broadcast(small), "band")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), _words(text).alias("__words"))
+    rows = rows.withColumn("__shingles", _shingles("__words")).drop("__words")
+    rows = _bands(rows, "__shingles")
+    # Places with a known value in any band, with those values.
+    values = F.transform(F.arrays_zip(*[f"__b{b}" for b in range(BANDS)]), lambda v, i: F.struct(i.alias("at"), v.alias("v")))
+    places = F.filter(values, lambda p: reduce(or_, [p["v"][f"__b{b}"].isin(known[b]) for b in range(BANDS)]))
+    # An outer explode: a filter on the places would be pushed below the columns they are made of and compute those anew for every window.
+    retrieved = rows.select("__id", "__text", "__shingles", F.explode_outer(places).alias("p")).filter(F.col("p").isNotNull())
+    retrieved = retrieved.select("__id", "__text", "__shingles", F.col("p.at").alias("__at"), F.posexplode(F.array(*[F.col(f"p.v.__b{b}") for b in range(BANDS)])).alias("band", "value"))
+    matched = retrieved.join(F.broadcast(small), ["band", "value"])
     around = F.slice("__shingles", F.greatest(F.lit(1), F.col("__at") + 1 - F.col("size")), F.col("size") * 2 + WINDOW)
     share = F.size(F.array_intersect(around, "wanted")) / F.size("wanted")
-    scored = matched.select(id_col, "license", "template", "__at", share.alias("containment")).filter(F.col("containment") >= F.lit(least))
+    scored = matched.select("__id", "__text", "license", "template", "size", "__at", share.alias("containment")).filter(F.col("containment") >= F.lit(least)).distinct()
     # Of templates that differ in a word or two, a place names the one that it has most of.
-    best = F.max("containment").over(W.partitionBy(id_col, "__at"))
-    scored = scored.withColumn("__best", best).filter(F.col("containment") == F.col("__best"))
-    return scored.groupBy(id_col, "license").agg(F.max("containment").alias("containment"), F.count_distinct("__at").alias("n_places"))
+    fit = F.struct("containment", "size")
+    best = F.max(fit).over(W.partitionBy("__id", "__text", "__at"))
+    scored = scored.withColumn("__best", best).filter(F.col("__best") == fit)
+    out = scored.groupBy("__id", "__text", "license").agg(F.max("containment").alias("containment"), F.count_distinct("__at").alias("n_places"))
+    return out.select(F.col("__id").alias(id_col), "license", "containment", "n_places")
