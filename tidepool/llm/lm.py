@@ -3,7 +3,9 @@
 A token is predicted in two steps, P(class | context) and P(member | class,
 context), each a softmax over sums of feature rows. Features of the context
 are the word before, the word before that (a skip feature), the pair of both,
-and the first with the third; pairs are hashed to a fixed number of rows.
+and the first with the third. Every word of the corpus is a context: words and
+pairs are hashed to rows, whose number grows with the square root of the
+training tokens (a power of two), so a larger corpus tells more contexts apart.
 The CLASSES x MEMBERS cells hold the most frequent words; class 0 holds
 buckets of all other words, by their first bytes. Within a bucket a word has
 its discounted share of the bucket's training tokens, and what the discount
@@ -13,8 +15,8 @@ vocabulary and of one unknown token add up to one.
 Counts are taken over all training texts. Gradients are distributed: in each
 round every trainer goes over its share of a fresh part of the training texts
 with small steps from the common weights, Spark adds up the changes by block,
-and the driver takes their mean. The weights have a fixed size. Every position
-of every training text gives a gradient step.
+and the driver takes their mean. Every position of
+every training text gives a gradient step.
 
 Scoring runs in batches of positions. Words too rare for the table that each
 task holds (at most TABLE_WORDS entries) are joined to their counts by hash.
@@ -35,14 +37,18 @@ from .words import Hasher, Slice, mix, slices, words
 
 CLASSES, MEMBERS = 32, 64
 CELLS = CLASSES * MEMBERS
-HASHED = 1 << 12
+#: Rows of each hashed feature at least.
+LEAST_HASHED = 1 << 12
 #: Entries of the count table that each task holds.
 TABLE_WORDS = 1 << 20
 ROUNDS = 2
 TRAINERS = 16
 _END = np.uint64(0x1B873593CC9E2D51)
-_CLASS_ROWS = 1 + 2 * CELLS + 2 * HASHED
-_MEMBER_ROWS = CLASSES + 2 * HASHED
+
+
+def hashed_rows(n_tokens: int) -> int:
+    """Rows of each hashed feature: the power of two at or above the square root of the training tokens."""
+    return max(LEAST_HASHED, 1 << max(0, int(np.sqrt(n_tokens)) - 1).bit_length())
 
 
 def _tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,8 +116,13 @@ class Model:
     bucket_tokens: np.ndarray
     bucket_words: np.ndarray
     complete: bool
-    class_rows: np.ndarray = field(default_factory=lambda: np.zeros((_CLASS_ROWS, CLASSES), np.float32))
-    member_rows: np.ndarray = field(default_factory=lambda: np.zeros((_MEMBER_ROWS, MEMBERS), np.float32))
+    hashed: int = LEAST_HASHED
+    class_rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    member_rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def __post_init__(self):
+        self.class_rows = np.zeros((1 + 4 * self.hashed, CLASSES), np.float32)
+        self.member_rows = np.zeros((CLASSES + 2 * self.hashed, MEMBERS), np.float32)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, cell) of each word; both -1 for words outside the table."""
@@ -124,34 +135,40 @@ class Model:
         cells = np.where(same, self.cells[spot], -1)
         return counts[inverse], cells[inverse]
 
-    def features(self, ids: np.ndarray, docs: np.ndarray, end: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Rows of the class weights for each position, and the word before."""
-        back = []
+    @staticmethod
+    def before(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The three words before each token, the end where a text starts."""
+        back = np.full((3, len(hashes)), _END, np.uint64)
         for k in (1, 2, 3):
-            b = np.full(len(ids), end, np.int64)
             same = docs[k:] == docs[:-k]
-            b[k:][same] = ids[:-k][same]
-            back.append(b)
-        pair = lambda a, b, salt: (mix((a * CELLS + b).astype(np.uint64) + np.uint64(salt)) % np.uint64(HASHED)).astype(np.int64)
-        first = 1 + 2 * CELLS
-        rows = [np.zeros(len(ids), np.int64), 1 + back[0], 1 + CELLS + back[1], first + pair(back[0], back[1], 1 << 40), first + HASHED + pair(back[0], back[2], 1 << 41)]
-        return rows, np.stack(back)
+            back[k - 1, k:][same] = hashes[:-k][same]
+        return back
 
-    @staticmethod
-    def member_features(classes: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
-        hashed = lambda b, salt: (mix((classes * CELLS + b).astype(np.uint64) + np.uint64(salt)) % np.uint64(HASHED)).astype(np.int64)
-        return [classes, CLASSES + hashed(back[0], 1 << 42), CLASSES + HASHED + hashed(back[1], 1 << 43)]
+    def _row(self, values: np.ndarray) -> np.ndarray:
+        return (values % np.uint64(self.hashed)).astype(np.int64)
 
-    def log_probabilities(self, ids: np.ndarray, docs: np.ndarray, end: int, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def class_features(self, back: np.ndarray) -> list[np.ndarray]:
+        """Rows of the class weights for each position."""
+        h = self.hashed
+        pair = lambda a, b: self._row(mix(a * np.uint64(0x9E3779B97F4A7C15) + b))
+        return [np.zeros(back.shape[1], np.int64), 1 + self._row(back[0]), 1 + h + self._row(back[1]), 1 + 2 * h + pair(back[0], back[1]), 1 + 3 * h + pair(back[0], back[2])]
+
+    def member_features(self, classes: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+        """Rows of the member weights for each position of a class."""
+        h = self.hashed
+        of = lambda b: self._row(mix(b + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
+        return [classes, CLASSES + of(back[0]), CLASSES + h + of(back[1])]
+
+    def log_probabilities(self, ids: np.ndarray, hashes: np.ndarray, docs: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P(cell) of each position, and log10 P(unknown word) at the positions asked for (0 elsewhere)."""
         out, missing = np.zeros(len(ids)), np.zeros(len(ids))
-        rows, back = self.features(ids, docs, end)
+        back = self.before(hashes, docs)
         free = np.where(self.bucket_tokens > 0, self.discount * self.bucket_words / np.maximum(self.bucket_tokens, 1), 1.0).astype(np.float32)
         for low in range(0, len(ids), 4096):
             at = slice(low, low + 4096)
             target = ids[at]
             classes, members = target // MEMBERS, target % MEMBERS
-            p = _softmax(_row_sums(self.class_rows, [r[at] for r in rows]))
+            p = _softmax(_row_sums(self.class_rows, self.class_features(back[:, at])))
             each = np.arange(len(target))
             q = _softmax(_row_sums(self.member_rows, self.member_features(classes, back[:, at])))
             out[at] = np.log10(np.maximum(p[each, classes] * q[each, members], 1e-30))
@@ -179,7 +196,8 @@ class _Trainer:
             seen[own] += (g * g).mean(axis=1)
             table[own] -= self.rate * g / np.sqrt(seen[own])[:, None]
 
-    def step(self, target: np.ndarray, rows: list[np.ndarray], back: np.ndarray) -> None:
+    def step(self, target: np.ndarray, back: np.ndarray) -> None:
+        rows = self.model.class_features(back)
         each, classes = np.arange(len(target)), target // MEMBERS
         g = _softmax(_row_sums(self.a, rows))
         g[each, classes] -= 1
@@ -197,11 +215,6 @@ def _ids(model: Model, hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndar
     return counts, np.where(cells >= 0, cells, buckets)
 
 
-def _end_cell(model: Model) -> int:
-    cell = model.look_up(np.array([_END], np.uint64))[1][0]
-    return int(cell) if cell >= 0 else 0
-
-
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: Column | None = None) -> tuple[Model, DataFrame]:
     """Fit on the rows for which train_rows holds; also returns the counts of all training words, (word, bucket, c).
 
@@ -233,14 +246,13 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
     np.subtract.at(sums[0], bucket[top], c[top])
     np.subtract.at(sums[1], bucket[top], 1)
     n1, n2 = totals["n1"] or 0, totals["n2"] or 0
-    model = Model(hashes, c, cells, n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, sums[0], sums[1], len(hashes) == v)
+    model = Model(hashes, c, cells, n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, sums[0], sums[1], len(hashes) == v, hashed_rows(n))
     mass = np.zeros(CELLS)
     mass[:MEMBERS] = sums[0]
     mass[cells[top]] = c[top]
     mass = (mass + 0.01).reshape(CLASSES, MEMBERS)
     model.class_rows[0] = np.log(mass.sum(axis=1) / mass.sum())
     model.member_rows[:CLASSES] = np.log(mass / mass.sum(axis=1, keepdims=True))
-    end = _end_cell(model)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = _Trainer(model)
@@ -248,10 +260,10 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
             for part in slices(batch.column(0)):
                 tokens, buckets, owner = _tokens(part)
                 _, ids = _ids(model, tokens, buckets)
-                feature_rows, back = model.features(ids, owner, end)
+                back = model.before(tokens, owner)
                 for low in range(0, len(ids), 1024):
                     at = slice(low, low + 1024)
-                    trainer.step(ids[at], [r[at] for r in feature_rows], back[:, at])
+                    trainer.step(ids[at], back[:, at])
         if trainer.n:
             change = np.concatenate([(trainer.a - model.class_rows).ravel(), (trainer.b - model.member_rows).ravel()])
             blocks = np.array_split(change, 64)
@@ -285,7 +297,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
     empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    end = _end_cell(model)
     names = ["id", "name", "word", "rows", "n", "known", "base", "score", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +310,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
                 c, ids = _ids(model, tokens, buckets)
                 rare = ids < MEMBERS
                 absent = c < 0
-                log_p, log_unknown = model.log_probabilities(ids, owner, end, absent)
+                log_p, log_unknown = model.log_probabilities(ids, tokens, owner, absent)
                 # A rare word's part of its bucket; what a task can't know is left to the join.
                 log_p = np.where(rare, log_p - bucket_log[np.minimum(ids, MEMBERS - 1)], log_p)
                 here = ~absent
