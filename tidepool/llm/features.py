@@ -45,8 +45,10 @@ class Lookup:
 
 
 def _sampled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __label, __text), as many rows as the sample at most: of rows of one id the one of the smallest text."""
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return rows.join(F.broadcast(sample), "__id").select("__id", "__label", "__text")  # as many rows as the sample's limit
+    found = rows.join(F.broadcast(sample), "__id")  # the sample has a limit
+    return found.groupBy("__id").agg(F.first("__label").alias("__label"), F.min("__text").alias("__text"))
 
 
 def _distinct_terms(part: Slice, terms: Terms) -> Iterator[np.ndarray]:
@@ -78,7 +80,7 @@ def gather(
     are summed by Spark; the sample's limit and `most` bound what comes to the
     driver.
     """
-    rows = _sampled(docs, cut(sample), id_col, text_col)
+    rows = cut(_sampled(docs, cut(sample), id_col, text_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +106,7 @@ def gather(
     known = np.array(table["term"].to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(known)
     known = known[order]
-    positive, total = np.array(table["positive"].to_numpy())[order], np.array(table["total"].to_numpy())[order]
+    positive, total = (np.array(table[c].to_numpy())[order] for c in ("positive", "total"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(known)
@@ -121,26 +123,35 @@ def gather(
 
     kind = rows.schema["__id"].dataType.simpleString()
     got = rows.mapInArrow(read, f"id {kind}, label int, terms binary").orderBy("id", "label", "terms").toArrow()
-    return Fitting(
-        known, positive, total - positive, [np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], np.array(got["label"].to_pylist(), np.int64)
-    )
+    at, labels = [np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], np.array(got["label"].to_pylist(), np.int64)
+    return Fitting(known, positive, total - positive, at, labels)
 
 
-def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """(a, b) with sigmoid(a * margin + b) fitted to the labels by Newton steps, with smoothed targets."""
+def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """(a, b) with sigmoid(a * margin + b) fitted to the labels by Newton steps that are halved until the loss falls, with smoothed targets; a is not negative."""
     p, q = int(labels.sum()), int(len(labels) - labels.sum())
     if not p or not q:
         return 0.0, float(np.log((p + 1) / (q + 1)))
     target = np.where(labels == 1, (p + 1) / (p + 2), 1 / (q + 2))
-    a, b = 1.0, float(np.log((p + 1) / (q + 1)))
+
+    def loss(x: np.ndarray) -> float:
+        z = x[0] * margins + x[1]
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * x[0] ** 2)
+
+    at = np.array([0.0, float(np.log((p + 1) / (q + 1)))])
+    now = loss(at)
     for _ in range(steps):
-        s = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = np.array([((s - target) * margins).sum() + 1e-3 * a, (s - target).sum()])
+        s = 1 / (1 + np.exp(-np.clip(at[0] * margins + at[1], -30, 30)))
+        g = np.array([((s - target) * margins).sum() + 1e-3 * at[0], (s - target).sum()])
         w = np.maximum(s * (1 - s), 1e-9)
         h = np.array([[(w * margins**2).sum() + 1e-3, (w * margins).sum()], [(w * margins).sum(), w.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-9 and loss(at - size * step) > now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        at, before = at - size * step, now
+        now = loss(at)
+        if before - now < 1e-9:
             break
-    return float(a), float(b)
+    return max(0.0, float(at[0])), float(at[1])

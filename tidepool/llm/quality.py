@@ -1,12 +1,12 @@
 """Quality classifier: a linear hinge-loss model over n-gram indicators scaled by class log-count ratios.
 
-Indicators of a text: its words, pairs of neighbouring words, the last two
-bytes of its words, and patterns of its word sequence (the share of words that
-repeat one of the words before them, of words in capitals, of distinct words,
-its length), each binned. Every indicator is scaled by the logarithm of the
-ratio of its smoothed shares in the two classes, rows are brought to length 1,
-and the weights come from dual coordinate descent. A logistic curve fitted on
-rows held back from the descent turns margins into scores.
+Indicators of a text are n-grams: its words, pairs of neighbouring words, the
+last two bytes of its words, and runs of four repeat marks (a mark says whether
+a word equals the one so many words before it), which show repetition in any
+language. Every indicator is scaled by the logarithm of the ratio of its
+smoothed shares in the two classes, rows are brought to length 1, and the
+weights come from dual coordinate descent. A logistic curve fitted on rows held
+back from the descent turns margins into scores.
 """
 
 from __future__ import annotations
@@ -28,46 +28,29 @@ LEAST_DOCS = 3
 
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _END = np.uint64(0xE7037ED1A0B428DB)
-_EDGES = np.array([0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.7, 0.95])
-
-
-def _pattern_hash(kind: int, value: np.ndarray) -> np.ndarray:
-    return mix((value.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64(kind * 7919 + 13))
+#: How far back repeat marks look, and how many neighbouring marks make an indicator.
+_BACK, _MARKS = (1, 2, 3, 4, 6), 4
 
 
 def terms(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every indicator of a slice's documents."""
     found = words(part)
-    n, counts = len(part.starts), found.counts
     owner = found.owner()
     hasher = Hasher(part.data)
     own = hasher.spans(found.begin, found.end)
     place = np.arange(len(own)) - found.low[owner] if len(own) else np.zeros(0, np.int64)
-    docs, hashes = [owner], [own]
     second = np.flatnonzero(place >= 1)
-    docs.append(owner[second])
-    hashes.append(mix(own[second - 1] * _PAIR + own[second]))
-    docs.append(owner)
-    hashes.append(mix(hasher.spans(np.maximum(found.begin, found.end - 2), found.end) + _END))
-    rest = np.maximum(counts, 1)
-    shares = []
-    for back in (1, 2, 3, 4, 6, 8, 12):
-        at = np.flatnonzero(place >= back)
-        shares.append(np.bincount(owner[at[own[at] == own[at - back]]], minlength=n) / rest)
-    capital = np.zeros(len(part.data) + 1, np.int64)
-    np.cumsum((part.data >= 65) & (part.data <= 90), out=capital[1:])
-    letters = capital[found.end] - capital[found.begin]
-    size = found.end - found.begin
-    shares.append(np.bincount(owner[2 * letters > size], minlength=n) / rest)
-    for byte in b"|!#$%&*<>":
-        total = np.zeros(len(part.data) + 1, np.int64)
-        np.cumsum(part.data == byte, out=total[1:])
-        shares.append((total[part.ends] - total[part.starts]) / rest)
-    for kind, share in enumerate(shares):
-        docs.append(np.arange(n))
-        hashes.append(_pattern_hash(kind, np.searchsorted(_EDGES, share)))
-    docs.append(np.arange(n))
-    hashes.append(_pattern_hash(len(shares), np.ceil(np.log2(counts + 1))))
+    docs = [owner, owner[second], owner]
+    hashes = [own, mix(own[second - 1] * _PAIR + own[second]), mix(hasher.spans(np.maximum(found.begin, found.end - 2), found.end) + _END)]
+    for back in _BACK:
+        mark = np.zeros(len(own), np.uint64)
+        mark[back:] = own[back:] == own[: max(0, len(own) - back)]
+        run = np.zeros(len(own), np.uint64)
+        for k in range(min(_MARKS, len(own))):
+            run[k:] = run[k:] * np.uint64(2) + mark[: len(own) - k]
+        at = np.flatnonzero(place >= back + _MARKS - 1)
+        docs.append(owner[at])
+        hashes.append(mix((run[at] + np.uint64(back << 8)) * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64(13)))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
