@@ -18,11 +18,11 @@ from .features import Fitting, Lookup, gather, labelled_sample, platt
 from .quality import with_scores
 from .words import Hasher, Slice, words
 
-#: Bounds of the fit: labelled rows used, terms kept, documents that a term must be in, chi-squared of a term and the label.
+#: Bounds of the fit: labelled rows used, terms read, documents that a term must be in, chi-squared of a term and the label (low, so that what tells something in a pair only is read too).
 SAMPLE_ROWS = 30_000
-MOST_TERMS = 20_000
+MOST_TERMS = 200_000
 LEAST_DOCS = 3
-LEAST_STRENGTH = 20.0
+LEAST_STRENGTH = 4.0
 FACTORS = 6
 PREFIXES = (4, 5, 6, 7, 8)
 _BATCH = 128
@@ -63,7 +63,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(docs, at, n) + self.b, -30, 30)))
 
 
-def fit(seen: Fitting, *, factors: int = FACTORS, steps: int = 2000, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+def fit(seen: Fitting, *, factors: int = FACTORS, steps: int = 2000, rate: float = 0.1, decay: float = 0.02) -> Machine:
     """Adaptive stochastic gradient descent on the logistic loss, in fixed order: `steps` batches at least, and twelve rounds. With one class only, every text scores the smoothed share of ones."""
     known, at, labels = seen.known, seen.rows, seen.labels
     p, q = int(labels.sum()), int(len(labels) - labels.sum())
@@ -98,7 +98,8 @@ def fit(seen: Fitting, *, factors: int = FACTORS, steps: int = 2000, rate: float
                 model.vectors[touched, f] -= 0.3 * rate * gv / np.sqrt(seen_v[touched, f])
     rest = [at[i] for i in np.flatnonzero(held)]
     margins = model.margins(np.repeat(np.arange(len(rest)), [len(r) for r in rest]), np.concatenate([*rest, np.zeros(0, np.int64)]).astype(np.int64), len(rest))
-    model.a, model.b = platt(np.clip(margins, -30, 30), labels[held])
+    if labels[held].sum() >= 8:  # too few rows don't fix a curve
+        model.a, model.b = platt(np.clip(margins, -30, 30), labels[held])
     return model
 
 
