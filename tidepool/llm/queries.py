@@ -74,7 +74,7 @@ FROM joined
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is learned from every labelled document's statistics; the statistics are computed once."""
     stats = cut(rules.text_statistics(_documents(spark, sf_dir).select("doc_id", "text")))
-    labels = _labels(spark, sf_dir).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labels = _labels(spark, sf_dir).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     found = rules.learn(stats.join(labels, "doc_id"), label_col="quality")
     failed = rules.base_failed()
     return stats.select(

@@ -32,7 +32,8 @@ RATES = {
     "upper_rate": "n_upper / greatest(word_chars, 1)",
     "mark_rate": "n_marks / greatest(n_words, 1)",
 }
-MOST_BINS = 24
+#: Quantiles of the rows whose values may be thresholds.
+QUANTILES = (*(i / 12 for i in range(12)), 0.95, 0.99)
 MOST_RULES = 8
 MOST_CONDITIONS = 3
 LEAST_COVER = 5
@@ -123,15 +124,15 @@ Rule = tuple[Condition, ...]
 
 
 def _thresholds(labelled: DataFrame, rates: dict[str, str]) -> dict[str, list[float]]:
-    """At most MOST_BINS - 1 thresholds of each rate: quantiles of the bad rows and of all rows."""
-    steps = [i / (MOST_BINS // 2) for i in range(MOST_BINS // 2)]
+    """The thresholds of each rate: QUANTILES of the bad rows and of all rows."""
+    steps = list(QUANTILES)
     picks = []
     for name, sql in rates.items():
         value = F.expr(sql)
         picks.append(F.percentile_approx(value, steps).alias(f"{name}_all"))
         picks.append(F.percentile_approx(F.when(F.col("__bad") == 1, value), steps).alias(f"{name}_bad"))
     row = labelled.agg(*picks).first()
-    return {n: sorted({*(row[f"{n}_all"] or []), *(row[f"{n}_bad"] or [])})[: MOST_BINS - 1] for n in rates}
+    return {n: sorted({*(row[f"{n}_all"] or []), *(row[f"{n}_bad"] or [])}) for n in rates}
 
 
 class _Counts:
