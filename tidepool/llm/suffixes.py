@@ -34,12 +34,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .cluster import partitions
+from .cluster import pieces
 from .words import Hasher, mix, slices
 
 LENGTH = 50
 ANCHOR = 20
 LEAST_PARTS = 64
+#: Bytes of text whose anchors go to one part, about.
+BYTES_A_PART = 1 << 26
 
 
 def two_stage_sort(data: np.ndarray, depth: int) -> np.ndarray:
@@ -213,7 +215,8 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_HASH_BYTES = 6
+#: Bytes of an anchor's hash, and of a context's: two contexts are taken for equal if both agree.
+_HASH_BYTES, _DIGEST_BYTES = 6, 8
 _MASK = np.uint64((1 << 8 * _HASH_BYTES) - 1)
 _FAR = np.iinfo(np.int64).max
 
@@ -294,7 +297,7 @@ def _contexts(part, rows: list[np.ndarray], length: int, anchor: int, by_digest:
     """Contexts of a slice whose anchor (or, if by_digest, whose own hash) is among its row's numbers: (anchor, context hash, document, begin, end)."""
     hashes, owner, _, first, last = _occurrences(part, length, anchor)
     last = last + length
-    digests = Hasher(part.data).spans(first, last) & _MASK
+    digests = Hasher(part.data).spans(first, last)
     mine = digests if by_digest else hashes & _MASK
     sizes = [len(rows[part.first + i]) for i in range(part.last - part.first)]
     cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
@@ -330,11 +333,11 @@ def _outline(parts: int, length: int, anchor: int):
             heads = np.flatnonzero(lowest)
             for p, at in _deal(_spread(hashes[heads], parts), parts):
                 at = heads[at]
-                rows[p] = [_narrow(hashes[at], _HASH_BYTES), _narrow(digests[at], _HASH_BYTES), _pack(owner[at]), b"", b""]
+                rows[p] = [_narrow(hashes[at], _HASH_BYTES), _narrow(digests[at], _DIGEST_BYTES), _pack(owner[at]), b"", b""]
             lost = np.flatnonzero(~lowest)
             for p, at in _deal(owner[lost] % parts, parts):
                 row = rows.setdefault(p, [b""] * 5)
-                row[3], row[4] = _narrow(digests[lost[at]], _HASH_BYTES), _pack(owner[lost[at]])
+                row[3], row[4] = _narrow(digests[lost[at]], _DIGEST_BYTES), _pack(owner[lost[at]])
             columns = [pa.array(list(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*rows.values())]] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 5]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "hash", "digest", "owner", "lost", "lost_owner"])
 
@@ -348,9 +351,9 @@ def _spread(hashes: np.ndarray, parts: int) -> np.ndarray:
 def _compare(table: pa.Table) -> pa.Table:
     """(key, lost, asked): contexts that a smaller document has too, and those whose bytes are needed."""
     blobs = {c: [v.as_py() for v in table[c]] for c in table.column_names if c != "part"}
-    read = lambda c: np.concatenate([np.zeros(0, np.uint64), *[_widen(b, _HASH_BYTES) for b in blobs[c]]])
+    read = lambda c, width: np.concatenate([np.zeros(0, np.uint64), *[_widen(b, width) for b in blobs[c]]])
     keys = lambda c: np.concatenate([np.zeros(0, np.int64), *[_unpack(b) for b in blobs[c]]])
-    hashes, digests, owner = read("hash"), read("digest"), keys("owner")
+    hashes, digests, owner = read("hash", _HASH_BYTES), read("digest", _DIGEST_BYTES), keys("owner")
     order = np.lexsort((owner, digests, hashes))
     hashes, digests, owner = hashes[order], digests[order], owner[order]
     first = _heads(hashes, digests)
@@ -361,7 +364,7 @@ def _compare(table: pa.Table) -> pa.Table:
     group = _heads(hashes)
     sizes = np.diff(np.append(np.searchsorted(first, group), len(first)))  # different contexts of each anchor
     asked = first[np.repeat(sizes > 1, sizes)] if len(group) else first
-    at = [_by_key(np.concatenate([owner[lost], keys("lost_owner")]), np.concatenate([digests[lost], read("lost")])), _by_key(owner[asked], digests[asked])]
+    at = [_by_key(np.concatenate([owner[lost], keys("lost_owner")]), np.concatenate([digests[lost], read("lost", _DIGEST_BYTES)])), _by_key(owner[asked], digests[asked])]
     return pa.table(
         {
             "key": pa.array([k for x in at for k in x], pa.int64()),
@@ -376,7 +379,7 @@ def _by_key(owner: np.ndarray, numbers: np.ndarray) -> dict[int, bytes]:
     owner, numbers = owner[order], numbers[order]
     heads = _heads(owner)
     ends = np.append(heads[1:], len(owner))
-    return {int(owner[a]): _narrow(numbers[a:b], _HASH_BYTES) for a, b in zip(heads, ends)}
+    return {int(owner[a]): _narrow(numbers[a:b], _DIGEST_BYTES) for a, b in zip(heads, ends)}
 
 
 def _bytes_of(parts: int, length: int, anchor: int):
@@ -384,7 +387,7 @@ def _bytes_of(parts: int, length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, 1):
-            keys, asked = batch.column(0).to_numpy(), _flagged(batch, "asked", _HASH_BYTES)
+            keys, asked = batch.column(0).to_numpy(), _flagged(batch, "asked", _DIGEST_BYTES)
             found: dict[int, dict[tuple[int, int, int], bytes]] = {}
             for part in slices(batch.column(1)):
                 hashes, digests, owner, begin, end = _contexts(part, asked, length, anchor, True)
@@ -396,9 +399,9 @@ def _bytes_of(parts: int, length: int, anchor: int):
                 continue
             rows = []
             for p, items in found.items():
-                h, d, k = (np.array(x) for x in zip(*items))
+                h, d, k = (np.array(x, t) for x, t in zip(zip(*items), (np.uint64, np.uint64, np.int64)))
                 sizes = np.array([len(c) for c in items.values()], np.uint16)
-                rows.append((p, _narrow(h.astype(np.uint64), _HASH_BYTES), _narrow(d.astype(np.uint64), _HASH_BYTES), _pack(k.astype(np.int64)), sizes.tobytes(), b"".join(items.values())))
+                rows.append((p, _narrow(h, _HASH_BYTES), _narrow(d, _DIGEST_BYTES), _pack(k), sizes.tobytes(), b"".join(items.values())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=_BYTE_COLUMNS)
 
     return run
@@ -415,7 +418,7 @@ def _resolve(length: int):
     def run(table: pa.Table) -> pa.Table:
         blobs = {c: [v.as_py() for v in table[c]] for c in table.column_names if c != "part"}
         hashes = np.concatenate([_widen(b, _HASH_BYTES) for b in blobs["hash"]]).tolist()
-        digests = np.concatenate([_widen(b, _HASH_BYTES) for b in blobs["digest"]]).tolist()
+        digests = np.concatenate([_widen(b, _DIGEST_BYTES) for b in blobs["digest"]]).tolist()
         keys = np.concatenate([_unpack(b) for b in blobs["owner"]]).tolist()
         sizes = np.frombuffer(b"".join(blobs["size"]), np.uint16).astype(np.int64)
         text, ends = b"".join(blobs["bytes"]), np.cumsum(sizes)
@@ -490,7 +493,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     no rows.
     """
     # A document gets a row from each part that has something for it, up to the number of its shared anchors.
-    parts = max(LEAST_PARTS, partitions(docs.sparkSession))
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    parts = max(LEAST_PARTS, pieces(docs.sparkSession, total, BYTES_A_PART))
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_FAR).cast("long"))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
@@ -513,7 +517,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, 1):
-            lost = _flagged(batch, "lost", _HASH_BYTES)
+            lost = _flagged(batch, "lost", _DIGEST_BYTES)
             partly = [np.frombuffer(b"".join(b.as_py() for b in row.values) if row.is_valid else b"", _RANGE) for row in batch.column(3)]
             wanted = [np.union1d(a, b["digest"]) for a, b in zip(lost, partly)]
             sizes, removed, spans, digests, kept = [], [], [], [], []
