@@ -56,6 +56,16 @@ def pieces(spark: SparkSession, size: int, each: int) -> int:
     return max(partitions(spark), -(-size // each))
 
 
+def spread(df: DataFrame, each: int = 1 << 23) -> DataFrame:
+    """df with its rows over all cores, if it is a small file: those often have one row group, which one task would read.
+
+    From `each` bytes a core on, files have row groups enough, and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < each * cores else df
+
+
 def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join of rows to a table of one row a key, where a key may hold any share of the rows.
 

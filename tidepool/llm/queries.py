@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import bpe, fingerprint, jaccard, licenses, lm, quality, rules, suffixes, toxicity
-from .cluster import cut
+from .cluster import cut, spread
 from .mixing import mix_sources, words_in
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def _remainder(by: int, value: int) -> Column:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """taken: words that the mix takes of each document, repeats counted."""
+    """taken: words that the mix takes of each document, repeats counted. Null texts have no words, a null source is the last one, equal rows are rows of their own, an empty table gives none."""
     docs = _documents(spark, sf_dir)
     sized = cut(docs.select("doc_id", "source", words_in("text").alias("size")))
     mixed = mix_sources(sized)
@@ -72,7 +72,11 @@ FROM joined
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is learned from every labelled document's statistics; the statistics are computed once."""
+    """The list is learned from every labelled document's statistics; the statistics are computed once.
+
+    Null and empty texts have no words and fail the base rule, equal rows get equal verdicts, null labels teach nothing, of
+    repeated labels the larger counts, an empty table gives no rows.
+    """
     stats = cut(rules.text_statistics(_documents(spark, sf_dir).select("doc_id", "text")))
     labels = _labels(spark, sf_dir).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     found = rules.learn(stats.join(labels, "doc_id"), label_col="quality")
@@ -91,18 +95,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of the decoded text. A null text is empty (no tokens), texts of any length are encoded whole, equal rows give equal rows, an empty table none."""
     return bpe.round_trip(_documents(spark, sf_dir), bpe.default_vocabulary())
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and of its edited text. Null texts are empty, rows of one id follow each other by text, null ids come first, texts of any length are read whole, an empty table gives no rows."""
     return fingerprint.edited_pairs(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that texts show. Null, empty and unlicensed texts give no rows, rows of one id and different texts have results of their own, equal rows share one, an empty table gives none."""
     return licenses.scan(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each text by a model of the rows that are not held out. A null or empty text is its end alone, a null id trains, equal rows get equal scores, an empty table gives no rows."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     held = _remainder(7, 2)
     model, counts = lm.learn(docs, train_rows=~held)
@@ -111,10 +119,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of linked documents. Null, empty and wordless texts have no shingles and are alone, equal rows are linked, rows without an id take part, an empty table gives no rows."""
     return jaccard.link_components(_documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each text. Null and empty texts are scored as texts without indicators, a null id is not held out, null labels teach nothing, of repeated labels the larger counts, an empty table gives no rows."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     held = _remainder(5, 0)
     model = quality.train(docs, _labels(spark, sf_dir), ~held)
@@ -123,10 +133,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats earlier documents, in bytes. A null text is empty, rows of one id do not count for each other, null ids come last, texts of any length are read whole, an empty table gives no rows."""
     return suffixes.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each text. Null and empty texts are scored as texts without terms, a null id is not held out, null labels teach nothing, of repeated labels the larger counts, an empty table gives no rows."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     held = _remainder(4, 2)
     model = toxicity.train(docs, _labels(spark, sf_dir), ~held)
