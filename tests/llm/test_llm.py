@@ -414,6 +414,15 @@ def test_jaccard_whatever_many_is(spark, monkeypatch, many):
     assert got == want
 
 
+def test_components_of_edges_that_change(spark):
+    """Edges that come out in another direction each time they are computed still connect."""
+    from tidepool.llm.graph import components
+
+    chain = spark.range(300).select(F.when(F.rand() < 0.5, F.array("id", F.col("id") + 1)).otherwise(F.array(F.col("id") + 1, "id")).alias("e"))
+    got = components(chain.select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(301)}
+
+
 def test_search_by_lists_equals_brute_force():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(60)]

@@ -15,8 +15,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     doubling. Rounds end when no label changes; one number a round comes to
     the driver. Edges may repeat; an empty table gives no rows.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    both = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    # Written before it is read in both directions: edges that come out differently the second time would not be symmetric.
+    once = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y"))
+    both = cut(once.unionByName(once.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    discard(once)
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")))
     # Edges of hubs, a few nodes with a large share of all, take their labels by broadcast.
     total = both.count()

@@ -340,7 +340,7 @@ def _forest(nodes: list[int], sizes: list[int], sketches: list[bytes], percent:
 def near_enough(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b): stars as they are, and a spanning forest of what may be links in each set of at most MANY (or of two sets of one name)."""
     members = found.filter("not star").select(F.col("a").alias("set"), F.col("b").alias("node")).join(classes.select("node", "n", "sketch"), "node")
-    sets = members.groupBy("set").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("m")).filter(F.size("m") > 1)
+    sets = members.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("node", "n", "sketch"))).alias("m")).filter(F.size("m") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
