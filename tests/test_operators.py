@@ -74,8 +74,9 @@ def test_poisoned_memory(spark):
 def test_contradiction_cues(spark):
     cues = lambda a, b: one(spark, evidence.contradiction_cues(F.lit(a), F.lit(b)))
     assert cues("Enable the cache", "Disable the cache") == ["enable/disable"]
-    assert cues("Use tabs", "Do not use tabs") == []
-    assert cues("Use tabs", "Never notify, use spaces") == ["not", "never"]
+    assert cues("Use tabs", "Do not use tabs") == ["use/do not use", "not"]
+    assert cues("Keep tabs", "Never notify, keep spaces") == ["not", "never"]
+    assert cues("Keep " + "x" * 1000 + " mutable", "Keep immutable") == ["mutable/immutable"]
 
 
 def test_replay_reward_and_backoff(spark):
@@ -140,7 +141,21 @@ def test_samples_round_trip(spark, tmp_path):
     assert (got["error_class"], got["file"], got["line"]) == ("error[E0308]", "src/a.rs", 12)
 
 
-def test_budget_and_strata(spark):
+def test_budget_and_quotas(spark):
     rows = spark.createDataFrame([("g", i, "x" * 40) for i in range(5)], "g string, id int, t string")
     assert sorted(r["id"] for r in sessions.within_budget(rows, "g", [F.col("id")], "t", 25).collect()) == [0, 1]
     assert math.isclose(sessions.stratified(rows, "g", {"g": 2}, "id", "id").agg(F.sum("id")).first()[0], 7)
+
+
+def test_statements_by_hand(spark):
+    from tidepool.functions import statements as st
+
+    say = lambda a, b: one(spark, st.decision(F.lit(a), F.lit(b)))
+    assert say("The cache is warm", "A cache is warm!") == "noop"
+    assert say("Timeout set to 30 seconds", "Timeout set to 45 seconds") == "update"
+    assert say("Main database is postgres cluster", "Main database is sqlite file") == "update"
+    assert say("Main database is postgres", "Retract: main database postgres") == "delete"
+    assert say("Main database is postgres", "Deploy on Fridays only") == "add"
+    assert one(spark, st.without_retraction(F.lit("Delete: tabs rule is obsolete"))) == "tabs rule"
+    assert one(spark, st.same_path_end(F.lit("src/a.rs"), F.lit("a.rs"))) and not one(spark, st.same_path_end(F.lit("src/aa.rs"), F.lit("a.rs")))
+    assert one(spark, st.normal_path(F.lit("./a\\\\b//c"))) == "a/b/c"

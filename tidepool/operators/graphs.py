@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import cut
+
 
 def strongest(edges: DataFrame) -> DataFrame:
     """Each (src, dst, kind) once, with its largest weight."""
@@ -22,7 +24,7 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFram
     front = reached
     for h in range(1, hops + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = step.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(h))
+        front = cut(step.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(h)))
         reached = reached.unionByName(front)
     return reached
 
@@ -34,25 +36,25 @@ def diffuse(edges: DataFrame, energy: DataFrame, *, hops: int = 3, spread: float
     edges; transfers below `floor` are dropped. Receivers become
     min(1, retained x old + received); others keep their energy.
     """
-    state = energy
+    state, edges = energy, cut(edges)
     for _ in range(hops):
         sent = state.filter(F.col("energy") >= radiates).join(edges, F.col("node") == F.col("src"))
         sent = sent.select(F.col("dst").alias("node"), (F.col("energy") * F.col("weight") * F.lit(spread)).alias("sent")).filter(F.col("sent") >= floor)
         got = sent.groupBy("node").agg(F.sum("sent").alias("got"))
-        state = state.join(got, "node", "full_outer").select(
+        state = cut(state.join(got, "node", "full_outer").select(
             "node", F.when(F.col("got").isNull(), F.col("energy")).otherwise(F.least(F.lit(1.0), F.lit(retained) * F.coalesce("energy", F.lit(0.0)) + F.col("got"))).alias("energy")
-        )
+        ))
     return state
 
 
 def dependents_closure(edges: DataFrame, roots: DataFrame, depth: int, may_pass: Column | None = None) -> DataFrame:
     """(node, depth) of everything that depends on the roots (node) within a depth; edges are (src depends on dst). A null or inactive node stops the walk if may_pass says so."""
-    usable = edges if may_pass is None else edges.filter(may_pass)
+    usable = cut(edges if may_pass is None else edges.filter(may_pass))
     reached = roots.select("node").distinct().withColumn("depth", F.lit(0))
     front = reached
     for d in range(1, depth + 1):
         step = front.join(usable, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
-        front = step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+        front = cut(step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         reached = reached.unionByName(front)
     return reached.filter("depth > 0")
 
@@ -80,19 +82,21 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label): synchronous propagation, heaviest label of the neighbours and oneself, ties to the smallest; deterministic."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = both.unionByName(both.select(F.col("src"), F.col("src").alias("dst"), F.lit(0.5).alias("weight")).distinct())
+    both = cut(both)
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label"))
+        labels = cut(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label")))
     return labels
 
 
 def waves(tasks: DataFrame, deps: DataFrame, rounds: int) -> DataFrame:
     """(node, level): longest-path layers of tasks (node) under deps (node, needs); a cycle's members get no level."""
-    open_, done = tasks.select("node").distinct(), None
+    open_, deps, done = tasks.select("node").distinct(), cut(deps.select("node", "needs")), None
     for level in range(rounds):
         waiting = deps if done is None else deps.join(done.select(F.col("node").alias("needs")), "needs", "left_anti")
         ready = open_.join(waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level))
-        open_ = open_.join(ready.select("node"), "node", "left_anti")
+        ready = cut(ready)
+        open_ = cut(open_.join(ready.select("node"), "node", "left_anti"))
         done = ready if done is None else done.unionByName(ready)
     return done

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..runtime import cut
+
 # Fixed values of the rankers: fusion constant and list weights, proximity, BM25.
 RRF_K = 60
 PROXIMITY = 0.35
@@ -27,14 +29,16 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, query: Sequence[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, score) of documents with a query term. Only query terms leave the scan; lengths and counts are over all documents."""
     terms = sorted({t.lower() for t in query})
-    cut = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("terms"))
-    totals = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).first()
 
     def frequency(term: str) -> Column:
         return F.size(F.filter("terms", lambda x: x == F.lit(term)))
 
-    hits = cut.select("id", F.size("terms").alias("length"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), frequency(t).alias("tf")) for t in terms])).alias("hit"))
-    hits = hits.select("id", "length", "hit.term", "hit.tf").filter("tf > 0")
+    # Texts are read and cut into words once: of each stays its length and a few frequencies.
+    lengths = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("terms"))
+    lengths = cut(lengths.select("id", F.size("terms").alias("length"), F.array(*[frequency(t) for t in terms]).alias("tfs")))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    hits = lengths.select("id", "length", F.posexplode("tfs").alias("at", "tf")).filter("tf > 0")
+    hits = hits.withColumn("term", F.get(F.array(*[F.lit(t) for t in terms]), F.col("at")))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, mean = F.lit(float(totals["n"])), F.lit(float(totals["mean"] or 1.0))
     weight = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

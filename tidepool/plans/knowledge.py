@@ -67,20 +67,23 @@ def medoid_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("label").agg(F.min_by("vec_id", F.struct("s", "vec_id")).alias("medoid"))
 
 
+_HAS = lambda t, w: f"contains({t}, '{w}')"
+_CUES = " + ".join(
+    [f"(({_HAS('x', p)} AND {_HAS('y', q)}) OR ({_HAS('x', q)} AND {_HAS('y', p)}))::INT" for p, q in evidence.OPPOSITES]
+    + [f"({_HAS('x', n)} <> {_HAS('y', n)})::INT" for n in evidence.NEGATIONS]
+)
+
+
 @query(
-    f"""WITH {MEM}, p AS (SELECT scope, id AS a, lower(substr(content, 1, 400)) AS x, lead(id) OVER w AS b, lower(substr(lead(content) OVER w, 1, 400)) AS y FROM memories WINDOW w AS (PARTITION BY scope ORDER BY id))
-SELECT a, b, ((contains(x, 'add') AND contains(y, 'remove')) OR (contains(x, 'remove') AND contains(y, 'add')))::INT + ((contains(x, 'true') AND contains(y, 'false')) OR (contains(x, 'false') AND contains(y, 'true')))::INT
- + ((contains(x, 'enable') AND contains(y, 'disable')) OR (contains(x, 'disable') AND contains(y, 'enable')))::INT + ((contains(x, 'allow') AND contains(y, 'deny')) OR (contains(x, 'deny') AND contains(y, 'allow')))::INT
- + ((contains(x, 'always') AND contains(y, 'never')) OR (contains(x, 'never') AND contains(y, 'always')))::INT + ((contains(x, 'increase') AND contains(y, 'decrease')) OR (contains(x, 'decrease') AND contains(y, 'increase')))::INT
- + CASE WHEN (contains(x, 'not') <> contains(y, 'not'))::INT + (contains(x, 'never') <> contains(y, 'never'))::INT + (contains(x, 'no longer') <> contains(y, 'no longer'))::INT + (contains(x, 'instead of') <> contains(y, 'instead of'))::INT >= 2
-   THEN (contains(x, 'not') <> contains(y, 'not'))::INT + (contains(x, 'never') <> contains(y, 'never'))::INT + (contains(x, 'no longer') <> contains(y, 'no longer'))::INT + (contains(x, 'instead of') <> contains(y, 'instead of'))::INT ELSE 0 END AS cues
-FROM p WHERE b IS NOT NULL"""
+    f"""WITH {MEM}, p AS (SELECT scope, id AS a, lower(content) AS x, lead(id) OVER w AS b, lower(lead(content) OVER w) AS y FROM memories WINDOW w AS (PARTITION BY scope ORDER BY id))
+SELECT a, b, {_CUES} AS cues FROM p WHERE b IS NOT NULL"""
 )
 def contradiction_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues between the openings of neighbouring statements of a scope."""
-    w = W.partitionBy("scope").orderBy("id")
-    m = memories(spark, sf_dir).select("scope", "id", F.substring("content", 1, 400).alias("t"))
-    p = m.select(F.col("id").alias("a"), "t", F.lead("id").over(w).alias("b"), F.lead("t").over(w).alias("t2")).filter("b is not null")
+    """Cues between neighbouring statements of a scope, over whole texts. Neighbours are found by ids; texts are joined to the pairs afterwards."""
+    m = memories(spark, sf_dir).select("scope", "id", "content")
+    pairs = m.select(F.col("id").alias("a"), F.lead("id").over(W.partitionBy("scope").orderBy("id")).alias("b")).filter("b is not null")
+    side = lambda c, t: m.select(F.col("id").alias(c), F.col("content").alias(t))
+    p = pairs.join(side("a", "t"), "a").join(side("b", "t2"), "b")
     return p.select("a", "b", F.size(evidence.contradiction_cues(F.col("t"), F.col("t2"))).alias("cues"))
 
 

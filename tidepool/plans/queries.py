@@ -199,7 +199,7 @@ TERMS = ["license", "version", "idiot", "thorin"]
 
 @query(BM25_SQL + " SELECT id, round(score, 6) AS score FROM b ORDER BY score DESC, id LIMIT 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.rank_list(retrieval.bm25(memories(spark, sf_dir), TERMS), 50)
+    best = retrieval.rank_list(retrieval.bm25(read(spark, sf_dir, "documents"), TERMS, "doc_id", "text"), 50)
     return best.select("id", F.round("score", 6).alias("score"))
 
 
@@ -232,7 +232,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     recent = m.select("id", F.col("valid_from").alias("score"))
     lists = {
-        "words": (retrieval.rank_list(retrieval.bm25(m, TERMS), 60), 0.4),
+        "words": (retrieval.rank_list(retrieval.bm25(read(spark, sf_dir, "documents"), TERMS, "doc_id", "text"), 60), 0.4),
         "vectors": (retrieval.rank_list(_vectors(spark, sf_dir), 100), 0.4),
         "recency": (retrieval.rank_list(recent, 60), 0.15),
     }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,22 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         _shipped.add(context.applicationId)
     return spark
+
+
+_own_folder: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the folder of spark.checkpoint.dir and read it back, so that an iteration's plan doesn't hold all earlier rounds.
+
+    Only a local session may leave the folder unset; it gets one of its own.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidepool-rounds-"))
+    path = f"{folder.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
