@@ -62,7 +62,7 @@ def spread(df: DataFrame, each: int = 1 << 23) -> DataFrame:
     From `each` bytes a core on, files have row groups enough, and nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < each * cores else df
 
 
