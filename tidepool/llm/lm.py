@@ -90,16 +90,17 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _row_sums(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    out = table[rows[0]]
+    out = table.take(rows[0], axis=0)
     for r in rows[1:]:
-        out += table[r]
+        out += table.take(r, axis=0)
     return out
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    if len(logits) and max(logits.max(), -logits.min()) > 60:  # else no power or sum leaves the range of a float
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
     return logits
 
 
@@ -145,7 +146,7 @@ class Model:
         return back
 
     def _row(self, values: np.ndarray) -> np.ndarray:
-        return (values % np.uint64(self.hashed)).astype(np.int64)
+        return (values & np.uint64(self.hashed - 1)).astype(np.int64)
 
     def class_features(self, back: np.ndarray) -> list[np.ndarray]:
         """Rows of the class weights for each position."""
@@ -188,20 +189,36 @@ class _Trainer:
         self.n = 0
 
     def _apply(self, table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], gradient: np.ndarray) -> None:
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(r[order]) != 0])
-            own = r[order][heads]
-            g = np.add.reduceat(gradient[order], heads, axis=0)
-            seen[own] += (g * g).mean(axis=1)
-            table[own] -= self.rate * g / np.sqrt(seen[own])[:, None]
+        """One step of every row that the features name; no row is in two features, so all are sorted at once."""
+        every = np.concatenate(rows)
+        low = every.min()
+        near = every.max() - low < 1 << 16  # small numbers are sorted faster
+        order = np.argsort((every - low).astype(np.uint16) if near else every, kind="stable")
+        every = every[order]
+        at = order % len(gradient)
+        first = np.r_[True, every[1:] != every[:-1]]
+        heads = np.flatnonzero(first)
+        own, times = every[heads], np.diff(np.append(heads, len(every)))
+        g = gradient.take(at[heads], axis=0)
+        often = np.flatnonzero(times > 1)
+        if len(often):  # rows of one position need no sum
+            n = times[often]
+            g[often] = np.add.reduceat(gradient.take(at[np.repeat(times > 1, times)], axis=0), np.cumsum(n) - n, axis=0)
+        self._move(table, seen, own, g)
+
+    def _move(self, table: np.ndarray, seen: np.ndarray, own: np.ndarray, g: np.ndarray) -> None:
+        total = seen[own] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        seen[own] = total
+        g *= (self.rate / np.sqrt(total)).astype(g.dtype)[:, None]
+        table[own] = table.take(own, axis=0) - g
 
     def step(self, target: np.ndarray, back: np.ndarray) -> None:
-        rows = self.model.class_features(back)
+        rows = self.model.class_features(back)  # the first is one row for all
         each, classes = np.arange(len(target)), target // MEMBERS
         g = _softmax(_row_sums(self.a, rows))
         g[each, classes] -= 1
-        self._apply(self.a, self.seen_a, rows, g)
+        self._move(self.a, self.seen_a, np.zeros(1, np.int64), np.ones((1, len(g)), g.dtype) @ g)
+        self._apply(self.a, self.seen_a, rows[1:], g)
         rows_b = self.model.member_features(classes, back)
         g = _softmax(_row_sums(self.b, rows_b))
         g[each, target % MEMBERS] -= 1
