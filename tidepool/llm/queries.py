@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, jaccard, licenses, lm, quality, rules, suffixes, toxicity
+from . import audit, bpe, decontaminate, fingerprint, jaccard, licenses, lm, middle, quality, rules, suffixes, toxicity
 from .cluster import cut, spread
 from .mixing import mix_sources, words_in
 
@@ -146,6 +146,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts rearranged for infilling, and restored. A null text is empty and plain, a null id is drawn as an empty one, rows of one id share their draws, texts of any length are cut whole, an empty table gives no rows."""
+    made = middle.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    restored = middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
+    )
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text that benchmark phrases cover. Null and empty texts have no words and aren't contaminated, rows of one id are rows of their own, an empty benchmark hits nothing, an empty table gives no rows."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.scan(_documents(spark, sf_dir).select("doc_id", "text"), items)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all orders, by language. A null text is empty, a null language is the empty one, null ids are larger than all others, of repeated labels the larger counts, an empty table gives no rows."""
+    return audit.audit(_documents(spark, sf_dir).select("doc_id", "text", "lang"), _labels(spark, sf_dir))
+
+
 OP7_SQL = r"""
 WITH RECURSIVE cut AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -183,11 +206,79 @@ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_rem
 FROM d LEFT JOIN summed USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS h FROM documents
+), cut AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:n], '') AS z FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM phrases) ON len(w) >= k)
+), found AS (
+  SELECT doc_id, k, i, item_id FROM places JOIN phrases USING (k, phrase)
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM found)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) < doc_id AS seen FROM t
+), l AS (
+  SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, [len(words) < 100, 100 * list_unique(words) < 80 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), seen] AS fails,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM w LEFT JOIN l USING (doc_id)
+), s AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), letters AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE list_unique([a.x, b.x, c.x, d.x, e.x]) = 5
+), cells AS (
+  SELECT part, o, step, o[step] AS own, fails[o[step]] AS fail, list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])) AS before, len(list_filter(fails, lambda x: x)) AS k, n, good, toxic
+  FROM s, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+  SELECT part, o, step, own, sum(n) FILTER (NOT fail AND NOT coalesce(before, false)) AS kept, sum(n) FILTER (fail AND NOT coalesce(before, false)) AS removed, sum(n) FILTER (fail AND before) AS redundant,
+         sum(n) FILTER (fail AND k = 1) AS unique_fails, sum(good) FILTER (fail AND NOT coalesce(before, false)) AS good_lost, sum(toxic) FILTER (fail AND NOT coalesce(before, false)) AS toxic_lost
+  FROM cells GROUP BY part, o, step, own
+)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM counted
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op5_license_scan, op6_lm_scoring, op7_ngram_jaccard, op8_quality_classifier, op9_suffix_dedup, op10_toxicity]
+    found = [op1_source_mixing, op2_quality_rules, op3_bpe, op4_fingerprints, op5_license_scan, op6_lm_scoring, op7_ngram_jaccard, op8_quality_classifier, op9_suffix_dedup, op10_toxicity, op11_fill_in_middle, op12_decontamination, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op9_suffix_dedup": OP9_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_filter_audit": OP13_SQL}

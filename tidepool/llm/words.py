@@ -94,9 +94,9 @@ class Words:
         return np.repeat(np.arange(len(self.low)), self.counts)
 
 
-def words(part: Slice) -> Words:
-    """Words are runs of bytes other than space and 0x09-0x0D; none crosses documents."""
-    inside = ~_SEPARATOR[part.data]
+def words(part: Slice, members: np.ndarray = ~_SEPARATOR) -> Words:
+    """Words are runs of bytes of `members`, without it of those other than space and 0x09-0x0D; none crosses documents."""
+    inside = members[part.data]
     edge = np.zeros(len(inside) + 1, bool)
     edge[part.starts] = True
     edge[len(inside)] = True
