@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import decay, errors, temporal
-from ..operators import evidence, graphs, retrieval, sessions, upserts
+from ..operators import evidence, folds, graphs, retrieval, sessions, upserts
 from ..sources.tables import NOW, memories, outcomes, read, session_events, supply_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,10 +506,9 @@ def transfer_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT skill, round(list_reduce(list_prepend(0.5::DOUBLE, v), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE), 6) AS success_rate FROM s"""
 )
 def ema_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error"))
-    hits = F.sort_array(F.collect_list(F.struct("ts", "event_id", F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("x"))))
-    s = e.groupBy(F.col("user_id").alias("skill")).agg(hits.alias("v"))
-    return s.select("skill", F.round(upserts.moving_average(F.transform("v", lambda h: h["x"]), 0.5), 6).alias("success_rate"))
+    """Success rate of each skill: its outcomes' moving average, composed by ranges of its history."""
+    e = read(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error")).select(F.col("user_id").alias("skill"), "ts", "event_id", F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("x"))
+    return folds.moving_average(e, "skill", ["ts", "event_id"], F.col("x"), 0.5).select("skill", F.round("average", 6).alias("success_rate"))
 
 
 @query(
@@ -549,7 +548,14 @@ def cluster_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("old_c").agg(F.max_by("new_c", F.struct("jaccard", "new_c")).alias("new_c"), F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id::VARCHAR AS task, event_id AS seq, event_type = 'error' AS failed, (event_id % 5)::VARCHAR AS sig, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'purchase')),
+s AS (SELECT task, 0::BIGINT AS k, 0::BIGINT AS seq, 0 AS evidence, []::VARCHAR[] AS recent, false AS futile, '' AS verdict FROM n WHERE k = 1
+  UNION ALL SELECT task, k, seq, e, r, futile OR (failed AND e >= 30), CASE WHEN NOT failed OR e < 30 THEN 'Continue' WHEN futile THEN 'StillFutile' ELSE 'Futile' END
+  FROM (SELECT n.task, n.k, n.seq, n.failed, s.futile AND n.failed AS futile, CASE WHEN NOT n.failed THEN floor(s.evidence * 0.25)::INT WHEN list_contains(s.recent, n.sig) THEN s.evidence + 10 ELSE s.evidence + 7 END AS e,
+    CASE WHEN n.failed THEN list_append(list_filter(s.recent, lambda x: x <> n.sig), n.sig)[-8:] ELSE s.recent END AS r FROM s JOIN n ON n.task = s.task AND n.k = s.k + 1))
+SELECT task, seq, evidence, verdict FROM s WHERE k > 0"""
+)
 def futility_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.futility import futility_batch as verdicts
 

@@ -207,14 +207,6 @@ def leases_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.leases(spark, sf_dir).filter((F.col("at") <= now) & (F.col("expires") > now)).select("resource", "holder", (F.col("expires") - now).alias("remaining"))
 
 
-@query(f"WITH {LEASES}, p AS (SELECT *, max(expires) OVER (PARTITION BY resource ORDER BY at_, holder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM leases) SELECT resource, holder, held IS NULL OR held <= at_ AS free FROM p")
-def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a resource was free of all earlier claims when it was asked for."""
-    before = W.partitionBy("resource").orderBy("at", "holder").rowsBetween(W.unboundedPreceding, -1)
-    l = rec.leases(spark, sf_dir).withColumn("held", F.max("expires").over(before))
-    return l.select("resource", "holder", (F.col("held").isNull() | (F.col("held") <= F.col("at"))).alias("free"))
-
-
 @query(f"WITH {LEASES} SELECT resource, count(*) FILTER (expires <= epoch(TIMESTAMP '1996-01-01')::BIGINT) AS pruned, count(*) FILTER (expires > epoch(TIMESTAMP '1996-01-01')::BIGINT) AS kept FROM leases GROUP BY resource")
 def leases_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, gone = upserts.split(rec.leases(spark, sf_dir), F.col("expires") <= F.unix_timestamp(F.lit("1996-01-01").cast("timestamp")))

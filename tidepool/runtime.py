@@ -1,4 +1,4 @@
-"""Makes the package importable in the Python workers of any cluster."""
+"""The session's side of the engine: modules for the Python workers, lineage cuts, joins that a frequent key doesn't slow down."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _shipped: set[str] = set()
 
@@ -38,9 +38,35 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidepool-rounds-"))
     path = f"{folder.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with more than one row in so many are joined by broadcast; there are HOT of them at most.
+HOT = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows, a written table, to a table of one row a key, where one key may hold any share of the rows.
+
+    Keys of more than a HOT-th of the rows are joined by broadcast, all others by shuffle.
+    """
+    total = rows.count()
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") * HOT > total).select(key))
+    known = table.join(F.broadcast(hot), key)  # HOT rows at most
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(known), key).unionByName(rest)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import State, ordered_fold
+
 # Evidence of a new and a repeated failure, threshold, share kept after progress, remembered signatures.
 NOVEL, REPEATED, THRESHOLD, KEPT, RECENT = 7, 10, 30, 0.25, 8
 
@@ -26,28 +28,29 @@ def fold(evidence: int, recent: list[str], futile: bool, failed: bool, signature
 SCHEMA = "task string, seq long, evidence int, verdict string"
 
 
-def _run(key: tuple, rows: pd.DataFrame, evidence: int, recent: list[str], futile: bool) -> tuple[pd.DataFrame, tuple]:
-    out = []
-    for r in rows.sort_values(["ts", "seq"]).itertuples():
-        evidence, recent, futile, verdict = fold(evidence, recent, futile, r.failed, r.signature)
-        out.append((key[0], r.seq, evidence, verdict))
-    return pd.DataFrame(out, columns=["task", "seq", "evidence", "verdict"]), (evidence, recent, futile)
+def _step(state: State | None, row: tuple) -> tuple[State, tuple]:
+    """One event (task, seq, ts, failed, signature) of a task."""
+    task, seq, _, failed, signature = row
+    evidence, recent, futile, verdict = fold(*(state or (0, [], False)), failed, signature)
+    return (evidence, recent, futile), (task, seq, evidence, verdict)
 
 
 def futility_batch(events: DataFrame) -> DataFrame:
-    """Verdicts over a table (task, seq, ts, failed, signature): a task's events are one ordered fold, so one task is one group."""
-    return events.groupBy("task").applyInPandas(lambda key, rows: _run(key, rows, 0, [], False)[0], SCHEMA)
+    """Verdicts over a table (task, seq, ts, failed, signature), in order of ts and seq: a sorted stream of rows with one state, so a task's history is never held."""
+    return ordered_fold(events.select("task", "seq", "ts", "failed", "signature"), "task", ["ts", "seq"], _step, SCHEMA)
 
 
 def futility_stream(events: DataFrame) -> DataFrame:
     """The same verdicts over a stream; state is a number, a flag and at most RECENT signatures a task."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        evidence, recent, futile = state.get if state.exists else (0, [], False)
-        rows = pd.concat(list(batches))
-        out, (evidence, recent, futile) = _run(key, rows, evidence, list(recent), futile)
-        state.update((evidence, recent, futile))
-        yield out
+        now, out = state.get if state.exists else None, []
+        rows = pd.concat(list(batches))  # a micro-batch's rows of one task
+        for row in rows[["task", "seq", "ts", "failed", "signature"]].sort_values(["ts", "seq"]).itertuples(index=False, name=None):
+            now, values = _step(now and (now[0], list(now[1]), now[2]), row)
+            out.append(values)
+        state.update(now)
+        yield pd.DataFrame(out, columns=["task", "seq", "evidence", "verdict"])
 
     return events.groupBy("task").applyInPandasWithState(
         step, SCHEMA, "evidence int, recent array<string>, futile boolean", "append", GroupStateTimeout.NoTimeout
