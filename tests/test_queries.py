@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidepool.plans import knowledge, records  # noqa: F401
+from tidepool.plans import beliefs, knowledge, records, search, state  # noqa: F401
 from tidepool.plans.queries import QUERIES, SQL
 
 

@@ -27,7 +27,7 @@ class _Leaders:
     """The leaders of a block so far; distances of a batch to all of them are one product."""
 
     def __init__(self) -> None:
-        self.ids, self.rows, self.n = [], np.zeros((0, 0)), 0
+        self.ids, self.known, self.rows, self.n = [], set(), np.zeros((0, 0)), 0
 
     def add(self, id_: object, unit: np.ndarray) -> None:
         if self.n == len(self.rows):
@@ -37,6 +37,7 @@ class _Leaders:
             self.rows = grown
         self.rows[self.n] = unit
         self.ids.append(id_)
+        self.known.add(id_)
         self.n += 1
 
     def nearest(self, units: np.ndarray, since: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,9 @@ def _pass(points: DataFrame, key: list[str], radius: float, grow: bool) -> DataF
                         late, far = leaders.nearest(units[i : i + 1], before)
                         if far[0] < distance:
                             place, distance = late[0], far[0]
-                    if distance < radius:
+                    if ids[i] in leaders.known:  # a leader stays its own, also a zero vector
+                        out.append((ids[i], blocks[i], ids[i], 0.0))
+                    elif distance < radius:
                         out.append((ids[i], blocks[i], leaders.ids[place], float(distance)))
                     elif grow:
                         leaders.add(ids[i], units[i])

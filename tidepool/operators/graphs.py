@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import cut
+from ..runtime import cut, discard
 
 
 def strongest(edges: DataFrame) -> DataFrame:
@@ -90,13 +92,21 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def waves(tasks: DataFrame, deps: DataFrame, rounds: int) -> DataFrame:
-    """(node, level): longest-path layers of tasks (node) under deps (node, needs); a cycle's members get no level."""
-    open_, deps, done = tasks.select("node").distinct(), cut(deps.select("node", "needs")), None
-    for level in range(rounds):
-        waiting = deps if done is None else deps.join(done.select(F.col("node").alias("needs")), "needs", "left_anti")
-        ready = open_.join(waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level))
-        ready = cut(ready)
-        open_ = cut(open_.join(ready.select("node"), "node", "left_anti"))
-        done = ready if done is None else done.unionByName(ready)
-    return done
+def waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """(node, level): longest-path layers of tasks (node) under deps (node, needs), however deep; a cycle's members, and what waits for them or for what is no task, get no level.
+
+    A round takes what the layer before has released: only its edges are read, and the nodes with an unmet need shrink.
+    """
+    nodes = cut(tasks.select("node").distinct())
+    deps = cut(deps.select("node", "needs").filter("needs is not null").distinct().join(nodes, "node"))
+    waiting = cut(deps.groupBy("node").agg(F.count(F.lit(1)).alias("unmet")))
+    front = cut(nodes.join(waiting, "node", "left_anti").withColumn("level", F.lit(0)))
+    layers = []
+    while not front.isEmpty():
+        layers.append(front)
+        met = deps.join(front.select(F.col("node").alias("needs")), "needs").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+        left = cut(waiting.join(met, "node", "left").select("node", (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet")))
+        discard(waiting)
+        front, waiting = cut(left.filter("unmet = 0").select("node", F.lit(len(layers)).alias("level"))), cut(left.filter("unmet > 0"))
+        discard(left)
+    return reduce(DataFrame.unionByName, layers) if layers else front

@@ -309,13 +309,13 @@ def closure_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT o_orderkey AS node, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level FROM orders)
-SELECT node, level::INT AS level FROM t WHERE level < 6"""
+SELECT node, level::INT AS level FROM t"""
 )
 def dag_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     t = o.select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("needs"))
-    return graphs.waves(t.select("node"), t.filter("needs is not null"), 6)
+    return graphs.waves(t.select("node"), t.filter("needs is not null"))
 
 
 @query(
@@ -343,9 +343,19 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.modularity(e, labels).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query()
+PROPAGATIONS = 10
+
+
+def _propagated(n: int) -> str:
+    return f"r{n} AS MATERIALIZED (SELECT node, arg_min(label, (-w, label)) AS label FROM (SELECT b.src AS node, r.label, sum(w) AS w FROM b JOIN r{n - 1} r ON r.node = b.dst GROUP BY ALL) GROUP BY node)"
+
+
+@query(
+    f"""WITH {EDGES}, w AS (SELECT src, dst, n::DOUBLE AS w FROM edges UNION ALL SELECT dst, src, n::DOUBLE FROM edges), b AS MATERIALIZED (SELECT * FROM w UNION ALL SELECT DISTINCT src, src, 0.5::DOUBLE FROM w),
+r0 AS (SELECT DISTINCT src AS node, src AS label FROM b), {', '.join(_propagated(i + 1) for i in range(PROPAGATIONS))} SELECT node, label FROM r{PROPAGATIONS}"""
+)
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.label_propagation(supply_edges(spark, sf_dir).select("src", "dst", F.col("n").cast("double").alias("weight")), 3)
+    return graphs.label_propagation(supply_edges(spark, sf_dir).select("src", "dst", F.col("n").cast("double").alias("weight")), PROPAGATIONS)
 
 
 OUT = "o AS (SELECT user_id AS memory_id, event_type = 'error' AS bad FROM events WHERE event_type IN ('error', 'purchase'))"

@@ -30,19 +30,21 @@ def ship_package(spark: SparkSession) -> SparkSession:
 _own_folder: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the folder of spark.checkpoint.dir and read it back, so that an iteration's plan doesn't hold all earlier rounds.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session, whose tasks run in the driver, may leave it unset; it gets one of its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidepool-rounds-"))
 
-    Only a local session may leave the folder unset; it gets one of its own.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: what follows survives the loss of executors, and an iteration's plan doesn't hold all earlier rounds."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidepool-rounds-"))
-    path = f"{folder.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/tidepool-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
