@@ -71,14 +71,15 @@ class Fitting:
 
 
 def gather(
-    docs: DataFrame, sample: DataFrame, *, id_col: str, text_col: str, terms: Terms, least: int, most: int, strength: float = 0.0
+    docs: DataFrame, sample: DataFrame, *, id_col: str, text_col: str, terms: Terms, least: int, most: int, strength: float = 0.0, frequent: float = 1.0
 ) -> Fitting:
     """Count terms by label over the sample, select, and read the sample's documents in the selected terms.
 
-    Terms of at least `least` documents and a chi-squared of at least
-    `strength` with the label are selected, the `most` strongest. The counts
-    are summed by Spark; the sample's limit and `most` bound what comes to the
-    driver.
+    Terms of at least `least` documents are selected if they are in a share of
+    `frequent` of the documents, whatever the label, or have a chi-squared of
+    at least `strength` with it; of more than `most` the frequent ones first,
+    then the strongest. The counts are summed by Spark; the sample's limit and
+    `most` bound what comes to the driver.
     """
     rows = cut(_sampled(docs, cut(sample), id_col, text_col))
 
@@ -101,8 +102,9 @@ def gather(
     share = min(p / max(1, n), 1 - 1e-9)
     expected = F.col("total") * F.lit(share)
     power = F.pow(F.col("positive") - expected, 2) / (expected * F.lit(1 - share))
-    chosen = counts.filter(F.col("total") >= least).withColumn("power", power).filter(F.col("power") >= strength)
-    table = chosen.orderBy(F.desc("power"), "term").limit(most).toArrow()
+    often = F.col("total") >= frequent * n
+    chosen = counts.filter(F.col("total") >= least).withColumn("power", power).filter(often | (F.col("power") >= strength))
+    table = chosen.orderBy(F.desc(often), F.desc("power"), "term").limit(most).toArrow()
     known = np.array(table["term"].to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(known)
     known = known[order]

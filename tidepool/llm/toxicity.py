@@ -18,10 +18,12 @@ from .features import Fitting, Lookup, gather, labelled_sample, platt
 from .quality import with_scores
 from .words import Hasher, Slice, words
 
-#: Bounds of the fit: labelled rows used, terms read, documents that a term must be in, chi-squared of a term and the label (low, so that what tells something in a pair only is read too).
+#: Bounds of the fit: labelled rows used, terms read, documents that a term must be in.
 SAMPLE_ROWS = 30_000
 MOST_TERMS = 200_000
 LEAST_DOCS = 3
+#: Terms in a share of FREQUENT of the documents are read whatever they tell alone, since a pair of them may tell more; rarer ones from this chi-squared with the label on.
+FREQUENT = 0.15
 LEAST_STRENGTH = 4.0
 FACTORS = 6
 PREFIXES = (4, 5, 6, 7, 8)
@@ -106,7 +108,7 @@ def fit(seen: Fitting, *, factors: int = FACTORS, steps: int = 2000, rate: float
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most sample_rows labelled documents for which train_rows holds."""
     sample = labelled_sample(labels, id_col, label_col, train_rows, sample_rows)
-    return fit(gather(docs, sample, id_col=id_col, text_col=text_col, terms=terms, least=LEAST_DOCS, most=MOST_TERMS, strength=LEAST_STRENGTH))
+    return fit(gather(docs, sample, id_col=id_col, text_col=text_col, terms=terms, least=LEAST_DOCS, most=MOST_TERMS, strength=LEAST_STRENGTH, frequent=FREQUENT))
 
 
 def _scorer(model: Machine):
