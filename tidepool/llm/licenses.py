@@ -99,11 +99,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     # Places with a known value in any band, with those values.
     values = F.transform(F.arrays_zip(*[f"__b{b}" for b in range(BANDS)]), lambda v, i: F.struct(i.alias("at"), v.alias("v")))
     places = F.filter(values, lambda p: reduce(or_, [p["v"][f"__b{b}"].isin(known[b]) for b in range(BANDS)]))
+    # Each place takes along what stands around it, as far as the longest template reaches, and not the whole text.
+    reach = max(len(r["shingles"]) for r in found)
+    first = lambda at: F.greatest(F.lit(1), at + 1 - F.lit(reach))
+    places = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["v"].alias("v"), first(p["at"]).alias("first"), F.slice("__shingles", first(p["at"]), F.lit(2 * reach + WINDOW)).alias("near")))
     # An outer explode: a filter on the places would be pushed below the columns they are made of and compute those anew for every window.
-    retrieved = rows.select("__id", "__text", "__shingles", F.explode_outer(places).alias("p")).filter(F.col("p").isNotNull())
-    retrieved = retrieved.select("__id", "__text", "__shingles", F.col("p.at").alias("__at"), F.posexplode(F.array(*[F.col(f"p.v.__b{b}") for b in range(BANDS)])).alias("band", "value"))
+    retrieved = rows.select("__id", "__text", F.explode_outer(places).alias("p")).filter(F.col("p").isNotNull())
+    retrieved = retrieved.select("__id", "__text", F.col("p.at").alias("__at"), F.col("p.first").alias("__first"), F.col("p.near").alias("__near"), F.posexplode(F.array(*[F.col(f"p.v.__b{b}") for b in range(BANDS)])).alias("band", "value"))
     matched = retrieved.join(F.broadcast(small), ["band", "value"])
-    around = F.slice("__shingles", F.greatest(F.lit(1), F.col("__at") + 1 - F.col("size")), F.col("size") * 2 + WINDOW)
+    low = F.greatest(F.lit(1), F.col("__at") + 1 - F.col("size"))
+    around = F.slice("__near", low - F.col("__first") + 1, F.col("size") * 2 + WINDOW)
     share = F.size(F.array_intersect(around, "wanted")) / F.size("wanted")
     scored = matched.select("__id", "__text", "license", "template", "size", "__at", share.alias("containment")).filter(F.col("containment") >= F.lit(least)).distinct()
     # Of templates that differ in a word or two, a place names the one that it has most of.
