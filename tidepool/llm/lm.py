@@ -14,9 +14,10 @@ vocabulary and of one unknown token add up to one.
 
 Counts are taken over all training texts. Gradients are distributed: in each
 round every trainer goes over its share of a fresh part of the training texts
-with small steps from the common weights, Spark adds up the changes by block,
-and the driver takes their mean. Every position of
-every training text gives a gradient step.
+with small steps from the common weights, and Spark takes the mean of the changes
+of each row over the trainers that touched it, so a row's change doesn't shrink
+with the number of trainers. Every position of every training text gives a
+gradient step.
 
 Scoring runs in batches of positions. Words too rare for the table that each
 task holds (at most TABLE_WORDS entries) are joined to their counts by hash.
@@ -42,7 +43,11 @@ LEAST_HASHED = 1 << 12
 #: Entries of the count table that each task holds.
 TABLE_WORDS = 1 << 20
 ROUNDS = 2
+#: Trainers, at least; more only as the training tokens grow, never with the machines, so that a table gives one model on any cluster.
 TRAINERS = 16
+TOKENS_EACH = 1 << 26
+#: Parts in which a table's changes travel.
+BLOCKS = 32
 _END = np.uint64(0x1B873593CC9E2D51)
 
 
@@ -282,26 +287,32 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
                     at = slice(low, low + 1024)
                     trainer.step(ids[at], back[:, at])
         if trainer.n:
-            change = np.concatenate([(trainer.a - model.class_rows).ravel(), (trainer.b - model.member_rows).ravel()])
-            blocks = np.array_split(change, 64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([trainer.n] * 64, pa.int64()), pa.array([b.astype(np.float16).tobytes() for b in blocks], pa.binary())], names=["block", "n", "change"])
-
-    def mean(table: pa.Table) -> pa.Table:
-        weights = np.array(table["n"].to_pylist(), np.float64)
-        total = sum(w * np.frombuffer(b.as_py(), np.float16).astype(np.float32) for w, b in zip(weights, table["change"]))
-        return pa.table({"block": table["block"].slice(0, 1), "change": pa.array([(total / weights.sum()).astype(np.float32).tobytes()], pa.binary())})
+            for name, new, old in ((0, trainer.a, model.class_rows), (1, trainer.b, model.member_rows)):
+                rows_of = np.array_split(np.arange(len(old)), BLOCKS)
+                parts = [(new[r] - old[r]).astype(np.float16).tobytes() for r in rows_of]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([trainer.n] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], names=["table", "block", "n", "change"])
+
+    def mean(group: pa.Table) -> pa.Table:
+        """The mean of each row's change over the trainers that have one, by their positions."""
+        width = (CLASSES, MEMBERS)[group["table"][0].as_py()]
+        total = touched = 0.0
+        for weight, part in zip(group["n"].to_pylist(), group["change"]):
+            change = np.frombuffer(part.as_buffer(), np.float16).astype(np.float32).reshape(-1, width)
+            total = total + np.float32(weight) * change
+            touched = touched + np.float32(weight) * change.any(axis=1)
+        out = (total / np.maximum(touched, 1)[:, None]).astype(np.float32)
+        return pa.table({"table": group["table"].slice(0, 1), "block": group["block"].slice(0, 1), "change": pa.array([out.tobytes()], pa.binary())})
 
     if n:
-        trainers = max(TRAINERS, docs.sparkSession.sparkContext.defaultParallelism)
+        trainers = max(TRAINERS, n // TOKENS_EACH)
         text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
         for t in range(ROUNDS):
             fresh = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)) == t).select(text).coalesce(trainers)
-            got = fresh.mapInArrow(train, "block int, n long, change binary").groupBy("block").applyInArrow(mean, "block int, change binary").collect()
-            if got:
-                change = np.concatenate([np.frombuffer(r["change"], np.float32) for r in sorted(got, key=lambda r: r["block"])])
-                cut_at = model.class_rows.size
-                model.class_rows += change[:cut_at].reshape(model.class_rows.shape)
-                model.member_rows += change[cut_at:].reshape(model.member_rows.shape)
+            got = fresh.mapInArrow(train, "table int, block int, n long, change binary").groupBy("table", "block").applyInArrow(mean, "table int, block int, change binary").collect()
+            for name, rows_ in ((0, model.class_rows), (1, model.member_rows)):
+                change = [np.frombuffer(r["change"], np.float32) for r in sorted(got, key=lambda r: r["block"]) if r["table"] == name]
+                if change:
+                    rows_ += np.concatenate(change).reshape(rows_.shape)
     return model, counts
 
 
