@@ -261,6 +261,14 @@ def _sets_of(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[n
 
 
 _BLOB = ["part", "edges", "x", "y", "head"]
+#: Documents whose keys a task holds at a time. Only its memory depends on it.
+AT_ONCE = 2500
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
 
 
 def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool, parts: int) -> DataFrame:
@@ -276,7 +284,7 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
     table[(common >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_pieces(batches):
             seen: set[int] = set()
             keys, nodes = [], []
             for _, kept, bounds in _sets(batch.column(0), k, lower):

@@ -7,6 +7,8 @@ one at every word. A window has BANDS MinHash values, each a band of its own
 in a band with probability 1 - (1 - s)^BANDS: 0.94 at 0.5 and 0.97 at 0.6, what
 a changed word at a window's edge leaves. Equal windows always meet, so a
 template of which WINDOW neighbouring words are whole is always retrieved.
+A template of fewer words has no such window: it is retrieved by its last
+shingle, as a band of its own, so it is found wherever that is whole.
 A band that is known retrieves the templates that have it; then the exact
 shingle containment of the template in the text around the window decides.
 All of it is native expressions; templates are a fixed list, so their bands
@@ -57,7 +59,7 @@ def _bands(table: DataFrame, shingles: str) -> DataFrame:
         table = table.withColumn(f"__b{b}", _ordered(shingles, _MASKS[b]))
     for step in (1, 2):
         table = table.withColumns({f"__b{b}": _lowest(f"__b{b}", step) for b in range(BANDS)})
-    return table
+    return table.withColumn(f"__b{BANDS}", F.col(shingles))
 
 
 def _banded(b: int, whole: Column) -> Column:
@@ -65,12 +67,13 @@ def _banded(b: int, whole: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """(license, template, shingles, band, value): one row for each MinHash value of each whole window; a template shorter than a window is one."""
+    """(license, template, shingles, band, value): one row for each MinHash value of each whole window, or for the last shingle of a template of fewer words."""
     rows = [(name, text) for name, texts in (templates or TEMPLATES).items() for text in texts]
     table = spark.createDataFrame(rows, "license string, template string").withColumn("words", _words(F.col("template"))).withColumn("shingles", _shingles("words"))
     table = _bands(table, "shingles")
     whole = F.greatest(F.lit(1), F.size("shingles") - (WINDOW - 2))
-    found = F.flatten(F.array(*[_banded(b, whole) for b in range(BANDS)]))
+    short = F.transform(F.slice("shingles", -1, 1), lambda v: F.struct(F.lit(BANDS).alias("band"), v.alias("value")))
+    found = F.when(F.size("words") < WINDOW, short).otherwise(F.flatten(F.array(*[_banded(b, whole) for b in range(BANDS)])))
     return table.select("license", "template", F.array_distinct("shingles").alias("shingles"), F.explode(found).alias("x")).select("license", "template", "shingles", "x.*").distinct()
 
 
@@ -87,7 +90,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     """
     spark = docs.sparkSession
     found = template_table(spark, templates).collect()  # a fixed list
-    known = [sorted({r["value"] for r in found if r["band"] == b}) for b in range(BANDS)]
+    known = [sorted({r["value"] for r in found if r["band"] == b}) for b in range(BANDS + 1)]
     small = spark.createDataFrame(
         [(r["band"], r["value"], r["license"], r["template"], len(r["shingles"]), r["shingles"]) for r in found],
         "band int, value long, license string, template string, size int, wanted array<bigint>",
@@ -97,15 +100,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     rows = rows.withColumn("__shingles", _shingles("__words")).drop("__words")
     rows = _bands(rows, "__shingles")
     # Places with a known value in any band, with those values.
-    values = F.transform(F.arrays_zip(*[f"__b{b}" for b in range(BANDS)]), lambda v, i: F.struct(i.alias("at"), v.alias("v")))
-    places = F.filter(values, lambda p: reduce(or_, [p["v"][f"__b{b}"].isin(known[b]) for b in range(BANDS)]))
+    values = F.transform(F.arrays_zip(*[f"__b{b}" for b in range(BANDS + 1)]), lambda v, i: F.struct(i.alias("at"), v.alias("v")))
+    places = F.filter(values, lambda p: reduce(or_, [p["v"][f"__b{b}"].isin(known[b]) for b in range(BANDS + 1)]))
     # Each place takes along what stands around it, as far as the longest template reaches, and not the whole text.
     reach = max(len(r["shingles"]) for r in found)
     first = lambda at: F.greatest(F.lit(1), at + 1 - F.lit(reach))
     places = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["v"].alias("v"), first(p["at"]).alias("first"), F.slice("__shingles", first(p["at"]), F.lit(2 * reach + WINDOW)).alias("near")))
     # An outer explode: a filter on the places would be pushed below the columns they are made of and compute those anew for every window.
     retrieved = rows.select("__id", "__text", F.explode_outer(places).alias("p")).filter(F.col("p").isNotNull())
-    retrieved = retrieved.select("__id", "__text", F.col("p.at").alias("__at"), F.col("p.first").alias("__first"), F.col("p.near").alias("__near"), F.posexplode(F.array(*[F.col(f"p.v.__b{b}") for b in range(BANDS)])).alias("band", "value"))
+    retrieved = retrieved.select("__id", "__text", F.col("p.at").alias("__at"), F.col("p.first").alias("__first"), F.col("p.near").alias("__near"), F.posexplode(F.array(*[F.col(f"p.v.__b{b}") for b in range(BANDS + 1)])).alias("band", "value"))
     matched = retrieved.join(F.broadcast(small), ["band", "value"])
     low = F.greatest(F.lit(1), F.col("__at") + 1 - F.col("size"))
     around = F.slice("__near", low - F.col("__first") + 1, F.col("size") * 2 + WINDOW)

@@ -51,6 +51,7 @@ class Machine:
     bias: float
     a: float = 1.0
     b: float = 0.0
+    losses: np.ndarray | None = None
 
     def margins(self, docs: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         out = np.full(n, self.bias)
@@ -102,13 +103,38 @@ def fit(seen: Fitting, *, factors: int = FACTORS, steps: int = 2000, rate: float
     margins = model.margins(np.repeat(np.arange(len(rest)), [len(r) for r in rest]), np.concatenate([*rest, np.zeros(0, np.int64)]).astype(np.int64), len(rest))
     if labels[held].sum() >= 8:  # too few rows don't fix a curve
         model.a, model.b = platt(np.clip(margins, -30, 30), labels[held])
+    if held.any():
+        z = model.a * np.clip(margins, -30, 30) + model.b
+        model.losses = np.logaddexp(0, z) - labels[held] * z
     return model
 
 
+def _telling(seen: Fitting) -> Fitting:
+    """The fitting with those terms alone that tell LEAST_STRENGTH of the label by themselves."""
+    total, share = seen.positive + seen.negative, seen.labels.mean()
+    expected = total * share
+    keep = (seen.positive - expected) ** 2 >= LEAST_STRENGTH * np.maximum(expected * (1 - share), 1e-9)
+    place = np.cumsum(keep) - 1
+    return Fitting(seen.known[keep], seen.positive[keep], seen.negative[keep], [place[r[keep[r]]].astype(np.int32) for r in seen.rows], seen.labels)
+
+
+def choose(seen: Fitting) -> Machine:
+    """The machine of the telling terms, or that of all terms read if its loss on the rows that neither is fitted to is smaller by more than a standard error of the difference: pairs of terms that tell nothing alone count where the labels turn on them, and add no noise where they don't."""
+    few = _telling(seen)
+    plain = fit(few)
+    if len(few.known) == len(seen.known):
+        return plain
+    whole = fit(seen)
+    if plain.losses is None or whole.losses is None:
+        return plain
+    gain = plain.losses - whole.losses
+    return whole if gain.mean() > gain.std() / np.sqrt(len(gain)) else plain
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most sample_rows labelled documents for which train_rows holds."""
     sample = labelled_sample(labels, id_col, label_col, train_rows, sample_rows)
-    return fit(gather(docs, sample, id_col=id_col, text_col=text_col, terms=terms, least=LEAST_DOCS, most=MOST_TERMS, strength=LEAST_STRENGTH, frequent=FREQUENT))
+    return choose(gather(docs, sample, id_col=id_col, text_col=text_col, terms=terms, least=LEAST_DOCS, most=MOST_TERMS, strength=LEAST_STRENGTH, frequent=FREQUENT))
 
 
 def _scorer(model: Machine):
