@@ -119,7 +119,7 @@ def _telling(seen: Fitting) -> Fitting:
 
 
 def choose(seen: Fitting) -> Machine:
-    """The machine of the telling terms, or that of all terms read if its loss on the rows that neither is fitted to is smaller by more than a standard error of the difference: pairs of terms that tell nothing alone count where the labels turn on them, and add no noise where they don't."""
+    """The machine of the telling terms, or that of all terms read if its loss on the rows that neither is fitted to is smaller by more than three standard errors of the difference: pairs of terms that tell nothing alone count where the labels turn on them, and add no noise where they don't."""
     few = _telling(seen)
     plain = fit(few)
     if len(few.known) == len(seen.known):
@@ -128,7 +128,7 @@ def choose(seen: Fitting) -> Machine:
     if plain.losses is None or whole.losses is None:
         return plain
     gain = plain.losses - whole.losses
-    return whole if gain.mean() > gain.std() / np.sqrt(len(gain)) else plain
+    return whole if gain.mean() > 3 * gain.std() / np.sqrt(len(gain)) else plain
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
