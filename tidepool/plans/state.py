@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import clusters, folds, paths, symbols, trajectories
+from ..operators import branches, clusters, folds, paths, symbols, trajectories
 from ..sources import records as rec
 from ..sources.tables import read, session_events
 from .queries import LOG, query
@@ -127,3 +127,31 @@ def leader_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The medoid of each cluster of vectors, where a label's vectors are dealt over several tasks."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
     return clusters.medoids(clusters.leader_clusters(e, splits=clusters.SPLITS), e)
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS k, 'main' AS branch, 0 AS at_, p_name AS c FROM part WHERE p_partkey % 11 > 0
+  UNION ALL SELECT l_partkey, CASE WHEN l_orderkey % 2 = 0 THEN 'feature' ELSE 'release' END, l_orderkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE 'part ' || (l_suppkey % 3) END FROM lineitem WHERE l_orderkey % 4 < 2 AND l_linenumber > 4),
+d AS (SELECT k, branch, arg_max(coalesce(sha256(c), 'deleted'), (at_, coalesce(sha256(c), 'deleted'))) AS d FROM r GROUP BY ALL),
+s AS (SELECT k, coalesce(max(d) FILTER (branch = 'main'), 'deleted') AS b, coalesce(max(d) FILTER (branch = 'feature'), max(d) FILTER (branch = 'main'), 'deleted') AS f, coalesce(max(d) FILTER (branch = 'release'), max(d) FILTER (branch = 'main'), 'deleted') AS t FROM d GROUP BY k)
+SELECT k AS part, CASE WHEN f = b AND t = b THEN 'unchanged' WHEN t = b THEN 'taken' WHEN f = b THEN 'kept' WHEN f = t THEN 'agreed' ELSE 'conflict' END AS outcome, f AS source, t AS target FROM s"""
+)
+def branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature branch merged into a release, both from one base: parts as records, line items as their later versions."""
+    base = read(spark, sf_dir, "part").filter("p_partkey % 11 > 0").select(F.col("p_partkey").alias("part"), F.lit("main").alias("branch"), F.lit(0).cast("long").alias("at"), F.col("p_name").alias("content"))
+    said = F.when(F.col("l_linenumber") != 7, F.concat(F.lit("part "), F.col("l_suppkey") % 3))
+    later = read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 < 2 AND l_linenumber > 4").select(F.col("l_partkey").alias("part"), F.when(F.col("l_orderkey") % 2 == 0, "feature").otherwise("release").alias("branch"), F.col("l_orderkey").alias("at"), said.alias("content"))
+    return branches.merge(base.unionByName(later), "part", F.col("content"), "main", "feature", "release").drop("base")
+
+
+@query(
+    """WITH e AS (SELECT user_id || '/' || event_type AS signature, floor(epoch(ts))::BIGINT AS at_, (event_id % 5) / 4.0::DOUBLE AS likeness, (event_id % 11) / 10.0::DOUBLE AS importance FROM events),
+g AS (SELECT signature, count(*) FILTER (importance < 0.9) AS recurrences, coalesce(sum(exp(-greatest(0.0::DOUBLE, (epoch(TIMESTAMP '2024-01-20 00:00:00')::BIGINT - at_)::DOUBLE) / 86400.0::DOUBLE) * likeness) FILTER (importance < 0.9), 0.0) AS density, count(*) FILTER (importance >= 0.9) AS bypassed FROM e GROUP BY signature)
+SELECT signature, recurrences, round(density, 6) AS density, bypassed, CASE WHEN recurrences >= 2 AND density >= 1.5 THEN 'consolidate' ELSE 'hold' END AS decision FROM g"""
+)
+def recurrence_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recurs densely enough at a moment to be consolidated, by user and kind of event."""
+    k = F.col("event_id")
+    e = read(spark, sf_dir, "events").select(F.concat("user_id", F.lit("/"), "event_type").alias("signature"), F.unix_timestamp("ts").alias("at"), (k % 5 / F.lit(4.0)).alias("likeness"), (k % 11 / F.lit(10.0)).alias("importance"))
+    out = branches.gated(e, "signature", F.unix_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp")), 0.9)
+    return out.withColumn("density", F.round("density", 6))
