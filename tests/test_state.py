@@ -185,3 +185,16 @@ def test_index_counts_the_last_segment_only(spark, tmp_path):
     assert sorted(r.score for r in small.search(["red", "pears"]).collect()) == pytest.approx(sorted(r.score for r in index.search(["red", "pears"]).collect()))
     plan = index.postings(["red"], False)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,red)" in plan
+
+
+def test_three_way_merge_and_density(spark):
+    from tidepool.operators import branches
+
+    rows = [("same", "b", 0, "x"), ("took", "b", 0, "x"), ("took", "f", 1, "y"), ("took", "f", 2, "z"), ("kept", "b", 0, "x"), ("kept", "r", 1, "y"), ("agree", "f", 1, "y"), ("agree", "r", 9, "y"), ("fight", "b", 0, "x"), ("fight", "f", 1, None), ("fight", "r", 1, "y"), ("gone", "b", 0, "x"), ("gone", "f", 1, None), ("back", "b", 0, "x"), ("back", "f", 1, "y"), ("back", "f", 2, "x"), ("other", "q", 1, "x")]
+    frame = spark.createDataFrame(rows, "k string, branch string, at int, c string")
+    got = {r.k: r.outcome for r in branches.merge(frame, "k", F.col("c"), "b", "f", "r").collect()}
+    assert got == {"same": "unchanged", "took": "taken", "kept": "kept", "agree": "agreed", "fight": "conflict", "gone": "taken", "back": "unchanged"}
+    events = [("a", 0, 1.0, 0.1), ("a", 86_400, 0.9, 0.1), ("a", 86_400, 1.0, 0.95), ("b", 0, 1.0, None), ("b", 90_000, None, 0.2), ("c", 0, -1.0, 0.99)]
+    out = {r.k: r for r in branches.gated(spark.createDataFrame(events, "k string, at long, likeness double, importance double"), "k", F.lit(86_400), 0.9).collect()}
+    assert out["a"].recurrences == 2 and out["a"].bypassed == 1 and out["a"].density == pytest.approx(np.exp(-1) + 0.9) and out["a"].decision == "hold"
+    assert out["b"].density == pytest.approx(np.exp(-1)) and (out["c"].recurrences, out["c"].density, out["c"].bypassed) == (0, 0.0, 1)
