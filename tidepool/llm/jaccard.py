@@ -121,12 +121,22 @@ def _differing(a: bytes, b: bytes) -> int:
     return (_folded(a, size) ^ _folded(b, size)).bit_count()
 
 
+#: Documents that a task holds words or keys of at a time. Only its memory depends on it.
+AT_ONCE = 2500
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool) -> DataFrame:
-    """(id, n, digest, sketch) of each document, and (token, docs) of what is common in a batch."""
+    """(id, n, digest, sketch) of each document, and (token, docs) of what is common in AT_ONCE documents."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_pieces(batches):
             sizes, digests, sketches, tokens = [], [], [], []
             for _, kept, bounds in _sets(batch.column(1), k, lower):
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -142,7 +152,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool)
                 names=["id", "n", "digest", "sketch", "token", "docs"],
             )
             found, counts = np.unique(np.concatenate(tokens), return_counts=True)
-            often = counts >= max(8, COMMON * n)
+            often = counts >= max(5, COMMON * n)
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
@@ -261,14 +271,6 @@ def _sets_of(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[n
 
 
 _BLOB = ["part", "edges", "x", "y", "head"]
-#: Documents whose keys a task holds at a time. Only its memory depends on it.
-AT_ONCE = 2500
-
-
-def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            yield batch.slice(at, AT_ONCE)
 
 
 def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool, parts: int) -> DataFrame:
