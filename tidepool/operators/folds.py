@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Steps of reinforcement and depression, and the bounds of an edge's weight.
 REINFORCE, DEPRESS, LEAST, MOST = 0.15, 0.20, 0.05, 1.0
@@ -81,18 +82,40 @@ def apply(start: Column) -> Column:
 def edge_weights(feedback: DataFrame, defaults: Column) -> DataFrame:
     """(src, dst, kind, weight, reinforcements, depressions, last) after feedback (src, dst, kind, at, seq, positive, score) in order of at and seq.
 
-    Positive feedback moves the weight a step towards one, negative a step
+    Positive feedback moves the weight a step towards one, any other a step
     towards zero, each scaled by its score (none or less than nothing: 1) and
     kept within bounds. defaults is the weight of an edge without history, by
-    its kind.
+    its kind. Short histories end on few decimals, where the last bit decides
+    how a weight is rounded; so steps are taken one after another, not as
+    composed maps. An edge's rows are one chain, read by one task batch by
+    batch: memory holds one batch and one weight, whatever the history.
     """
     keys = ["src", "dst", "kind"]
     score = F.when(F.coalesce("score", F.lit(0.0)) <= 0, 1.0).otherwise(F.least("score", F.lit(1.0)))
-    up, down = F.lit(REINFORCE) * score, F.lit(DEPRESS) * score
-    good = F.col("positive")
-    maps = composed(feedback, keys, ["at", "seq"], F.when(good, 1 - up).otherwise(1 - down), F.when(good, up).otherwise(0.0), F.lit(LEAST), F.lit(MOST))
-    counts = feedback.groupBy(*keys).agg(F.count_if(good).alias("reinforcements"), F.count_if(~good).alias("depressions"), F.max("at").alias("last"))
-    return maps.withColumn("weight", apply(defaults)).join(counts, keys).select(*keys, "weight", "reinforcements", "depressions", "last")
+    rows = feedback.select(*keys, "at", "seq", F.coalesce("positive", F.lit(False)).alias("positive"), score.cast("double").alias("score"), defaults.cast("double").alias("start"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "at", "seq")
+    fields = [dealt.schema[k] for k in keys] + [T.StructField("weight", T.DoubleType()), T.StructField("reinforcements", T.LongType()), T.StructField("depressions", T.LongType()), T.StructField("last", dealt.schema["at"].dataType)]
+    schema = T.StructType(fields)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, w, ups, downs, last = None, 0.0, 0, 0, None
+        for batch in batches:
+            done = []
+            columns = [batch.column(c).to_pylist() for c in ("positive", "score", "start", "at")]
+            for key, good, s, start, at in zip(zip(*[batch.column(k).to_pylist() for k in keys]), *columns):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, w, ups, downs, last))
+                    now, w, ups, downs = key, start, 0, 0
+                w = w + REINFORCE * s * (1 - w) if good else w - DEPRESS * s * w
+                w = max(LEAST, min(MOST, w))
+                ups, downs, last = ups + good, downs + (not good), at
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in done], schema=to_arrow_schema(schema))
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*now, w, ups, downs, last)))], schema=to_arrow_schema(schema))
+
+    return dealt.mapInArrow(walk, schema)
 
 
 def moving_average(log: DataFrame, key: str, order: list[str], value: Column, start: float, rate: float = 0.2) -> DataFrame:

@@ -41,8 +41,9 @@ SELECT src, dst, kind, round(arg_max(w, s.k), 6) AS weight, (SELECT count(*) FIL
 def edge_plasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge weights after all feedback, in its order."""
     start = F.when(F.col("kind") == "Supports", DEFAULTS["Supports"]).when(F.col("kind") == "MentionsFile", DEFAULTS["MentionsFile"]).otherwise(DEFAULTS["SharedTag"])
+    # Half a millionth is rounded as SQL rounds a double, after scaling it; Spark's round goes by the shortest decimal.
     done = folds.edge_weights(rec.edge_feedback(spark, sf_dir), start)
-    return done.select("src", "dst", "kind", F.round("weight", 6).alias("weight"), "reinforcements", (F.col("reinforcements") + F.col("depressions")).alias("feedback"))
+    return done.select("src", "dst", "kind", (F.round(F.col("weight") * 1_000_000) / 1_000_000).alias("weight"), "reinforcements", (F.col("reinforcements") + F.col("depressions")).alias("feedback"))
 
 
 WEIGHTED = """one AS (SELECT DISTINCT 'mem:' || l_partkey AS src, 'fact:' || l_suppkey AS dst, CASE WHEN (l_partkey + l_suppkey) % 3 = 0 THEN 'Supports' ELSE 'SharedTag' END AS kind, (l_partkey * 7 + l_suppkey * 3) % 40 / 100.0::DOUBLE + 0.55::DOUBLE AS weight FROM lineitem),
