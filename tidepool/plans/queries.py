@@ -140,7 +140,7 @@ SELECT workspace, count(*) AS pending, min(seq) AS next_seq, round(sum(wait), 6)
 )
 def outbox_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("workspace"), (F.col("event_type") == "purchase").alias("synced"), errors.backoff_seconds((F.col("event_id") % 12).cast("int")).alias("wait"), "ts")
-    due = o.filter(~F.col("synced") & (F.unix_timestamp("ts") + F.col("wait") <= F.unix_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp"))))
+    due = o.filter(~F.col("synced") & (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("wait")) <= F.lit("2024-01-20 00:00:00").cast("timestamp")))
     return due.groupBy("workspace").agg(F.count(F.lit(1)).alias("pending"), F.min("seq").alias("next_seq"), F.round(F.sum("wait"), 6).alias("wait_seconds"))
 
 
