@@ -26,9 +26,14 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def sum_in_order(order: Column, part: Column) -> Column:
+    """An aggregate: the sum of a group's few parts in the order of another column, so that equal parts give equal sums and ties stay ties, whatever order rows come in."""
+    return F.aggregate(F.sort_array(F.collect_list(F.struct(order.alias("order"), part.alias("part")))), F.lit(0.0), lambda total, p: total + p["part"])
+
+
 def bm25(docs: DataFrame, query: Sequence[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, score) of documents with a query term. Only query terms leave the scan; lengths and counts are over all documents."""
-    terms = sorted({t.lower() for t in query})
+    terms = list(dict.fromkeys(t.lower() for t in query))
 
     def frequency(term: str) -> Column:
         return F.size(F.filter("terms", lambda x: x == F.lit(term)))
@@ -43,7 +48,7 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str = "id", text_col: st
     n, mean = F.lit(float(totals["n"])), F.lit(float(totals["mean"] or 1.0))
     weight = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean))
-    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("score"))  # one row for each query term
+    return hits.join(F.broadcast(df), "term").groupBy("id").agg(sum_in_order(F.col("at"), part).alias("score"))  # one row for each query term
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,11 +69,11 @@ def rank_list(scored: DataFrame, k: int, score_col: str = "score") -> DataFrame:
 
 def fuse(lists: Mapping[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank): (id, score), the sum of weight / (k + rank)."""
-    parts = [df.select("id", (F.lit(w) / (F.lit(k) + F.col("rank"))).alias("part")) for df, w in lists.values()]
+    parts = [df.select("id", F.lit(i).alias("list"), (F.lit(w) / (F.lit(k) + F.col("rank"))).alias("part")) for i, (df, w) in enumerate(lists.values())]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return union.groupBy("id").agg(F.sum("part").alias("score"))
+    return union.groupBy("id").agg(sum_in_order(F.col("list"), F.col("part")).alias("score"))
 
 
 def quality(importance: Column, confidence: Column) -> Column:

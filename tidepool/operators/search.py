@@ -58,7 +58,8 @@ class Index:
     def search(self, words: Sequence[str], k: int | None = None, *, prefix: bool = False, keep: Column | None = None) -> DataFrame:
         """(id, score): BM25 over all documents that are there, of those for which keep (over the attributes) holds, the k best, ties to the smallest id.
 
-        A prefix counts as one word that all words beginning with it are.
+        A prefix counts as one word that all words beginning with it are. Parts
+        are summed in the order of the words, so equal documents score equal.
         Without words, or without a hit, there are no rows.
         """
         there = self.documents()
@@ -70,7 +71,8 @@ class Index:
         weight = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = weight * F.col("tf") * F.lit(retrieval.K1 + 1) / (F.col("tf") + F.lit(retrieval.K1) * (F.lit(1 - retrieval.B) + F.lit(retrieval.B) * F.col("length") / mean))
         kept = hits if keep is None else hits.filter(keep)
-        scored = kept.join(F.broadcast(df), "word").groupBy("id").agg(F.sum(part).alias("score"))  # df: a row for each word asked
+        place = F.array_position(F.array(*[F.lit(w) for w in dict.fromkeys(w.lower() for w in words)]).cast("array<string>"), F.col("word"))
+        scored = kept.join(F.broadcast(df), "word").groupBy("id").agg(retrieval.sum_in_order(place, part).alias("score"))  # df: a row for each word asked
         return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
 
     def compact(self, folder: str) -> Index:
