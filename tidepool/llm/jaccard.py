@@ -538,8 +538,10 @@ def link_components(
     classes = cut(classes.withColumn("node", node))
     met = cut(candidates(docs, common, rules, k, text_col, lower, pieces(docs.sparkSession, seen["rows"], ROWS_A_PART)))
     edges = near_enough(met, classes, percent)
-    blocks = components(edges).withColumnRenamed("component", "block")
-    members = cut(classes.join(blocks, "node").select("digest", "rep", "block"))
+    blocks = components(edges)
+    discard(met)
+    members = cut(classes.join(blocks.withColumnRenamed("component", "block"), "node").select("digest", "rep", "block"))
+    discard(blocks)
     chunks = members.groupBy("block").agg(F.ceil(F.count("digest") / CHUNK).cast("int").alias("chunks"))
     dealt = members.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
 
@@ -559,6 +561,7 @@ def link_components(
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     shaped = dealt.join(_maybe_in(texts, members, "rep"), "rep").select("digest", "block", "chunks", "chunk", "text")
     sets = cut(shaped.mapInArrow(shape, "digest string, block long, chunks int, chunk int, set binary"))
+    discard(members)
 
     def within(table: pa.Table) -> pa.Table:
         table = _by_digest(table)
@@ -590,10 +593,11 @@ def link_components(
                 .select("digest", F.coalesce("component", "digest").alias("component"))
             )
         comps = found.filter("chunks = 1").select("digest", "component").unionByName(state)
+    discard(sets)
     lowest = cut(comps.join(classes, "digest").groupBy("component").agg(F.min("rep").alias("lowest")))
     named = look_up(comps, lowest, "component").select("digest", "lowest")
     totals = cut(classes.join(named, "digest", "left").select("digest", F.coalesce("lowest", "rep").alias("component_id")))
-    for table in (met, members, sets, found, lowest, classes):
+    for table in (found, lowest, classes):
         discard(table)
     return own.drop("sketch").join(totals, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
