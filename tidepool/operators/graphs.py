@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import cut, discard
+from ..runtime import cut, discard, few
 
 
 def strongest(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,11 @@ def with_reverse(edges: DataFrame, factor: float = 0.85) -> DataFrame:
 
 
 def hop_distances(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(node, hops) of nodes within so many hops of the seeds (node)."""
-    reached = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    """(node, hops) of nodes within so many hops of the seeds (node). Edges may repeat; they are read once a hop, past a small front without a shuffle."""
+    reached = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     front = reached
     for h in range(1, hops + 1):
-        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        step = edges.join(few(front), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = cut(step.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(h)))
         reached = reached.unionByName(front)
     return reached

@@ -274,8 +274,9 @@ h2 AS (SELECT DISTINCT b.dst AS node FROM h1 JOIN both_ b ON b.src = h1.node WHE
 SELECT 'mem:1' AS node, 0 AS hops UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2"""
 )
 def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = supply_edges(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    both = graphs.with_reverse(edges.select("src", "dst", "weight")).select("src", "dst").distinct()
+    """Nodes within two hops of a part. Repeated line items are repeated edges, which reach the same nodes."""
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("mem:"), F.col("l_partkey")).alias("src"), F.concat(F.lit("fact:"), F.col("l_suppkey")).alias("dst"))
+    both = lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graphs.hop_distances(both, spark.createDataFrame([("mem:1",)], "node string"))
 
 
