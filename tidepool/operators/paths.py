@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut
+from ..runtime import cut, few
 
 
 def best_paths(edges: DataFrame, source: str, depth: int) -> DataFrame:
@@ -20,10 +20,10 @@ def best_paths(edges: DataFrame, source: str, depth: int) -> DataFrame:
     edges = cut(edges.select("src", "dst", "kind", "weight"))
     spark = edges.sparkSession
     start = spark.createDataFrame([(source, 0, 1.0, None, None)], "node string, hops int, energy double, parent string, kind string")
-    rounds, best = [start], start.select("node", "energy")
+    rounds, best = [cut(start)], start.select("node", "energy")
     for hop in range(1, depth + 1):
         front = rounds[-1].select(F.col("node").alias("src"), "energy")
-        offers = edges.join(front, "src").select(F.col("dst").alias("node"), (F.col("energy") * F.col("weight")).alias("energy"), F.col("src").alias("parent"), "kind").filter("energy > 0")
+        offers = edges.join(few(front), "src").select(F.col("dst").alias("node"), (F.col("energy") * F.col("weight")).alias("energy"), F.col("src").alias("parent"), "kind").filter("energy > 0")
         top = offers.groupBy("node").agg(F.min(F.struct((-F.col("energy")).alias("e"), "parent", "kind")).alias("b"))
         top = top.select("node", F.lit(hop).alias("hops"), (-F.col("b.e")).alias("energy"), "b.parent", "b.kind")
         known = best.withColumnRenamed("energy", "had")

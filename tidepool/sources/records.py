@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..runtime import dealt
 from .tables import read
 
 
@@ -125,9 +126,10 @@ def edge_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, kind, weight) in both directions between parts and suppliers, from line items."""
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    one = read(spark, sf_dir, "lineitem").select(
+    pairs = dealt(read(spark, sf_dir, "lineitem").select(p, s), "l_partkey", "l_suppkey").distinct()
+    one = pairs.select(
         F.concat(F.lit("mem:"), p).alias("src"), F.concat(F.lit("fact:"), s).alias("dst"), F.when((p + s) % 3 == 0, "Supports").otherwise("SharedTag").alias("kind"), ((p * 7 + s * 3) % 40 / F.lit(100.0) + F.lit(0.55)).alias("weight")
-    ).distinct()
+    )
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", (F.col("weight") * F.lit(0.85)).alias("weight")))
 
 
