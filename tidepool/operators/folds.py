@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..runtime import dealt
+
 #: Steps of reinforcement and depression, and the bounds of an edge's weight.
 REINFORCE, DEPRESS, LEAST, MOST = 0.15, 0.20, 0.05, 1.0
 
@@ -132,8 +134,9 @@ def ordered_fold(log: DataFrame, key: str, order: list[str], step: Step, out: st
     """One row out for each row of the log, by a step (state, row) -> (state, values) that goes through each key's rows in order; a key starts from no state.
 
     Rows are dealt by key and sorted, and read batch by batch: memory holds
-    one batch and one state, whatever a key's history. log has the key first.
-    A key's rows are one chain, so they are read by one task.
+    one batch and one state, whatever a key's history, and the tasks are as
+    many as the rows need. log has the key first. A key's rows are one chain,
+    so they are read by one task.
     """
     columns = [key, *[c for c in log.columns if c != key]]
     schema = T._parse_datatype_string(out)
@@ -149,7 +152,7 @@ def ordered_fold(log: DataFrame, key: str, order: list[str], step: Step, out: st
                 rows.append(values)
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return log.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return dealt(log.select(*columns), key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 # Leases

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import branches, clusters, folds, paths, symbols, trajectories
+from ..runtime import dealt
 from ..sources import records as rec
 from ..sources.tables import read, session_events
 from .queries import LOG, query
@@ -23,7 +24,8 @@ SELECT resource, holder, at_ AS "at", outcome, count(*) AS n, max(CASE WHEN outc
 )
 def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims on leases in their order: a lease is granted if none stands, or to its holder; denied claims hold nothing."""
-    done = folds.leases(rec.claims(spark, sf_dir))
+    claims = rec.claims(spark, sf_dir)
+    done = dealt(folds.leases(claims), "resource", rows=claims.count())
     return done.groupBy("resource", "holder", "at", "outcome").agg(F.count(F.lit(1)).alias("n"), F.max("held_until").alias("held_until"))
 
 
