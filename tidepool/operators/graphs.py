@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import cut, discard, few
+from ..runtime import cut, dealt, discard, few
 
 
 def strongest(edges: DataFrame) -> DataFrame:
@@ -81,15 +81,39 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label): synchronous propagation, heaviest label of the neighbours and oneself, ties to the smallest; deterministic."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = both.unionByName(both.select(F.col("src"), F.col("src").alias("dst"), F.lit(0.5).alias("weight")).distinct())
-    both = cut(both)
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        labels = cut(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label")))
-    return labels
+    """(node, label): synchronous propagation, heaviest label of the neighbours and oneself, ties to the smallest; deterministic.
+
+    Nodes are numbered in their order, so rounds go by numbers and ties fall as
+    between names. Rounds end early where all others are known: no label
+    changes any more, or all alternate between two.
+    """
+    edges = cut(edges.select("src", "dst", "weight"))
+    names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    names = cut(names.orderBy("node").withColumn("id", F.monotonically_increasing_id()))
+    end = lambda c, to: names.select(F.col("node").alias(c), F.col("id").alias(to))
+    one = cut(edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b", "weight"))
+    discard(edges)
+    own = names.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.5).alias("weight"))
+    both = cut(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).unionByName(own))
+    discard(one)
+    size, none = both.count(), F.lit(None).cast("long")
+    labels = cut(names.select("id", F.col("id").alias("label"), none.alias("last"), none.alias("before")))
+    final = "label"
+    for r in range(1, rounds + 1):
+        # Dealt by the voter once, for both aggregations.
+        votes = dealt(both.join(labels, F.col("b") == F.col("id")).select("a", "label", "weight"), "a", rows=size)
+        most = votes.groupBy("a", "label").agg(F.sum("weight").alias("w")).groupBy(F.col("a").alias("id")).agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label"))
+        new = cut(most.join(labels.select("id", F.col("label").alias("last"), F.col("last").alias("before")), "id"))
+        discard(labels)
+        labels = new
+        moved = labels.agg(*[F.count_if(~F.col("label").eqNullSafe(F.col(c))) for c in ("last", "before")]).first()
+        if moved[0] == 0 or moved[1] == 0:
+            final = "last" if moved[0] and (rounds - r) % 2 else "label"
+            break
+    labels = labels.select("id", F.col(final).alias("label"))
+    discard(both)
+    name = names.select(F.col("id").alias("label"), F.col("node").alias("name"))
+    return labels.join(names, "id").join(name, "label").select("node", F.col("name").alias("label"))
 
 
 def waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
