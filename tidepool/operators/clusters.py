@@ -15,6 +15,8 @@ from . import retrieval
 #: Fixed value: cosine distance below which a point belongs to a leader.
 RADIUS = 0.20
 SPLITS = 16
+#: Leaders and points of one product of distances: only memory depends on them.
+PART, AT_ONCE = 1024, 512
 
 
 def _unit(vectors: pa.Array) -> np.ndarray:
@@ -24,29 +26,32 @@ def _unit(vectors: pa.Array) -> np.ndarray:
 
 
 class _Leaders:
-    """The leaders of a block so far; distances of a batch to all of them are one product."""
+    """The leaders of a block so far, in parts of PART; distances of AT_ONCE points to a part are one product, so memory holds the leaders and one such product."""
 
     def __init__(self) -> None:
-        self.ids, self.known, self.rows, self.n = [], set(), np.zeros((0, 0)), 0
+        self.ids, self.known, self.parts, self.n = [], set(), [], 0
 
     def add(self, id_: object, unit: np.ndarray) -> None:
-        if self.n == len(self.rows):
-            grown = np.zeros((max(16, 2 * self.n), len(unit)))
-            if self.n:
-                grown[: self.n] = self.rows[: self.n]
-            self.rows = grown
-        self.rows[self.n] = unit
+        if self.n % PART == 0:
+            self.parts.append(np.zeros((PART, len(unit))))
+        self.parts[-1][self.n % PART] = unit
         self.ids.append(id_)
         self.known.add(id_)
         self.n += 1
 
     def nearest(self, units: np.ndarray, since: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(place, distance) of the nearest leader from number `since` on; the first of ties."""
-        if self.n == since:
-            return np.zeros(len(units), int), np.full(len(units), np.inf)
-        away = np.maximum(0.0, 1.0 - units @ self.rows[since : self.n].T)
-        at = away.argmin(axis=1)
-        return at + since, away[np.arange(len(units)), at]
+        place, distance = np.zeros(len(units), int), np.full(len(units), np.inf)
+        for begin in range(since - since % PART, self.n if since < self.n else 0, PART):
+            skip = max(0, since - begin)
+            rows = self.parts[begin // PART][skip : self.n - begin].T
+            for a in range(0, len(units), AT_ONCE):
+                away = np.maximum(0.0, 1.0 - units[a : a + AT_ONCE] @ rows)
+                at = away.argmin(axis=1)
+                found = away[np.arange(len(at)), at]
+                nearer = np.flatnonzero(found < distance[a : a + AT_ONCE])
+                place[a + nearer], distance[a + nearer] = begin + skip + at[nearer], found[nearer]
+        return place, distance
 
 
 def _pass(points: DataFrame, key: list[str], radius: float, grow: bool) -> DataFrame:
