@@ -513,3 +513,46 @@ def test_pipeline_stages(spark, sf):
     assert kept.columns == single.columns == docs.columns
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and all(r["decodes"] for r in out) and max(Counter(r["doc_id"] for r in out).values()) <= 2
+
+
+def test_python_gets_and_returns_texts_in_small_batches(spark):
+    from pyspark.sql import types as T
+
+    from tidepool.llm.cluster import BATCH_BYTES, cut, discard
+
+    before = spark.conf.get(BATCH_BYTES)
+    frame = spark.createDataFrame([(i,) for i in range(60)], "id long").repartition(1).withColumn("text", F.repeat(F.lit("x"), 100_000))
+    sizes = cut(frame.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long"), 1 << 20)
+    found = [r["n"] for r in sizes.collect()]
+    assert len(found) >= 5 and max(found) < 2 << 20  # one batch of 6 MB before
+    discard(sizes)
+    assert spark.conf.get(BATCH_BYTES) == before
+
+    class Frame:
+        schema = T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a " * 200_000, None, "b " * 200_000, "", "c " * 300_000])], names=["text"])
+    run = quality.with_scores(Frame(), lambda: lambda part: (part.ends - part.starts).astype(float), "text", "score")
+    out = list(run(iter([batch])))
+    assert len(out) == 3 and pa.Table.from_batches(out)["score"].to_pylist() == [400_000.0, 0.0, 400_000.0, 0.0, 600_000.0]
+
+
+def test_elements_common_over_small_batches_are_counted(spark):
+    class Frame:
+        schema = spark.createDataFrame([], "id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = jaccard.signatures(Frame(), 1, "id", "text", True)
+    texts = [f"own{i} rare" if i % 100 == 0 else f"own{i}" for i in range(2 * jaccard.AT_ONCE)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(texts[i : i + 100])], names=["id", "text"]) for i in range(0, len(texts), 100)]
+    rows = pa.Table.from_batches(list(run(iter(batches))))
+    docs = [n for n in rows["docs"].to_pylist() if n is not None]
+    assert docs == [25, 25] and rows.num_rows == len(texts) + 2  # one in each batch, none of them counted before

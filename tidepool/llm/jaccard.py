@@ -51,8 +51,8 @@ COMMON = 0.002
 CHUNK = 1024
 #: Classes in one set up to which their pairs are held against sketches. Only speed depends on it.
 MANY = 32
-#: Documents for which keys go to one part, about.
-ROWS_A_PART = 100_000
+#: Documents for which keys go to one part, about: a part of their keys has some MB, and is one group in memory.
+ROWS_A_PART = 1500
 #: Bitmaps of 32,768 bits by which texts outside of blocks are passed over: 1 MB in all, whatever the input.
 FILTER_BITMAPS = 256
 _CLASS_RATIO = 1.5
@@ -121,8 +121,8 @@ def _differing(a: bytes, b: bytes) -> int:
     return (_folded(a, size) ^ _folded(b, size)).bit_count()
 
 
-#: Documents that a task holds words or keys of at a time. Only its memory depends on it.
-AT_ONCE = 2500
+#: Documents whose elements or keys a task counts together, about, and bytes of the batches in which it gets their texts. Only memory and speed depend on them.
+AT_ONCE, TEXT_BYTES = 2500, 4 << 20
 
 
 def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,32 +132,39 @@ def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool) -> DataFrame:
-    """(id, n, digest, sketch) of each document, and (token, docs) of what is common in AT_ONCE documents."""
+    """(id, n, digest, sketch) of each document, and (token, docs) of what is common in about AT_ONCE documents."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def common(tokens: list[np.ndarray], n: int, ids: pa.DataType) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(tokens), return_counts=True)
+        often = counts >= max(5, COMMON * n)
+        m = int(often.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
+            names=["id", "n", "digest", "sketch", "token", "docs"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held, ids = [], 0, pa.null()
         for batch in _in_pieces(batches):
-            sizes, digests, sketches, tokens = [], [], [], []
+            sizes, digests, sketches = [], [], []
             for _, kept, bounds in _sets(batch.column(1), k, lower):
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     sizes.append(b - a)
                     digests.append(_digest(kept[a:b]).hex() if b > a else None)
                     sketches.append(_sketch(kept[a:b]) if b > a else None)
                 tokens.append(kept)
-            n = batch.num_rows
-            if not n:
-                continue
+            n, ids = batch.num_rows, batch.column(0).type
+            held += n
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
                 names=["id", "n", "digest", "sketch", "token", "docs"],
             )
-            found, counts = np.unique(np.concatenate(tokens), return_counts=True)
-            often = counts >= max(5, COMMON * n)
-            m = int(often.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
-                names=["id", "n", "digest", "sketch", "token", "docs"],
-            )
+            if held >= AT_ONCE:
+                yield common(tokens, held, ids)
+                tokens, held = [], 0
+        if held:
+            yield common(tokens, held, ids)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest string, sketch binary, token long, docs long")
 
@@ -227,12 +234,21 @@ def _groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, nodes, heads, np.diff(np.append(heads, len(keys)))
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct (a, b) in order, two rows."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]])
+
+
 def _stars(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, big: np.ndarray) -> np.ndarray:
     """Edges from the smallest node of each big group to its others, two rows."""
     inside = np.repeat(big, sizes)
     lowest = np.repeat(nodes[heads], sizes)
     apart = inside & (nodes != lowest)
-    return np.unique(np.stack([lowest[apart], nodes[apart]]), axis=1)
+    return _distinct_pairs(lowest[apart], nodes[apart])
 
 
 def _sets_of(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,8 +281,7 @@ def _sets_of(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[n
     kind, node = kind[order], node[order]
     starts = np.flatnonzero(np.r_[True, np.diff(kind) != 0])
     name = mix(np.add.reduceat(mix(node.view(np.uint64)), starts)).view(np.int64)
-    rows = np.stack([np.repeat(name, np.diff(np.append(starts, len(kind)))), node])
-    rows = np.unique(rows, axis=1)
+    rows = _distinct_pairs(np.repeat(name, np.diff(np.append(starts, len(kind)))), node)
     return rows[0], rows[1]
 
 
@@ -285,10 +300,28 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[(common >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
+    def blobs_of(keys: list[np.ndarray], nodes: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+        key, node, heads, sizes = _groups(np.concatenate(keys), np.concatenate(nodes))
+        big = sizes > MANY
+        edges = _stars(node, heads, sizes, big)
+        head = np.repeat(big, sizes)
+        sent = ~head
+        sent[heads] = True
+        key, node, head = key[sent], node[sent], head[sent]
+        part = (key % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        key, node, head, part = key[order], node[order], head[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        rows = [(p, False, key[i:j].tobytes(), node[i:j].tobytes(), head[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
+        if edges.shape[1]:
+            rows.append((n % parts, True, edges[0].tobytes(), edges[1].tobytes(), b""))
+        if rows:
+            p, e, *blobs = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), *[pa.array(x, pa.binary()) for x in blobs]], names=_BLOB)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, nodes, held = set(), [], [], 0
         for batch in _in_pieces(batches):
-            seen: set[int] = set()
-            keys, nodes = [], []
             for _, kept, bounds in _sets(batch.column(0), k, lower):
                 names = np.array([_node(_digest(kept[a:b])) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
                 owner, key = _keys(kept, bounds, common, table, rules)
@@ -296,29 +329,16 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
                 keep = fresh[owner]
                 keys.append(key[keep])
                 nodes.append(names[owner[keep]])
-            if not keys:
-                continue
-            key, node, heads, sizes = _groups(np.concatenate(keys), np.concatenate(nodes))
-            big = sizes > MANY
-            edges = _stars(node, heads, sizes, big)
-            head = np.repeat(big, sizes)
-            sent = ~head
-            sent[heads] = True
-            key, node, head = key[sent], node[sent], head[sent]
-            part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            key, node, head, part = key[order], node[order], head[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, False, key[i:j].tobytes(), node[i:j].tobytes(), head[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
-            if edges.shape[1]:
-                rows.append((batch.num_rows % parts, True, edges[0].tobytes(), edges[1].tobytes(), b""))
-            if rows:
-                p, e, *blobs = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), *[pa.array(x, pa.binary()) for x in blobs]], names=_BLOB)
+            held += batch.num_rows
+            if held >= AT_ONCE:
+                yield from blobs_of(keys, nodes, held)
+                seen, keys, nodes, held = set(), [], [], 0
+        if held:
+            yield from blobs_of(keys, nodes, held)
 
     def meet(table: pa.Table) -> pa.Table:
         edges = table["edges"].to_numpy()
-        read = lambda name, kind, of: np.frombuffer(b"".join(v.as_py() for v, e in zip(table[name], edges) if e == of), kind)
+        read = lambda name, kind, of: np.frombuffer(b"".join(v.as_buffer() for v, e in zip(table[name], edges) if e == of), kind)
         sent = read("x", np.uint64, False)
         key, node, heads, sizes = _groups(sent, read("y", np.int64, False))
         tied = (sizes > MANY) | np.isin(key[heads], sent[read("head", bool, False)])
@@ -523,7 +543,7 @@ def link_components(
     """
     if not 67 <= percent <= 100:
         raise ValueError("percent must be between 67 and 100")
-    signed = cut(signatures(docs, k, id_col, text_col, lower))
+    signed = cut(signatures(docs, k, id_col, text_col, lower), TEXT_BYTES)
     seen = signed.filter("n is not null").agg(F.count("n").alias("rows"), F.max("n").alias("largest")).first()
     own = signed.filter("n is not null").select("id", "n", "digest", "sketch")
     if not seen["rows"]:
@@ -536,10 +556,11 @@ def link_components(
     node = F.expr("cast(conv(" + "||".join(f"substring(digest, {i}, 2)" for i in range(15, 0, -2)) + ", 16, -10) as bigint)")
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", node))
-    met = cut(candidates(docs, common, rules, k, text_col, lower, pieces(docs.sparkSession, seen["rows"], ROWS_A_PART)))
-    edges = near_enough(met, classes, percent)
-    blocks = components(edges)
+    met = cut(candidates(docs, common, rules, k, text_col, lower, pieces(docs.sparkSession, seen["rows"], ROWS_A_PART)), TEXT_BYTES)
+    edges = cut(near_enough(met, classes, percent), TEXT_BYTES)
     discard(met)
+    blocks = components(edges)
+    discard(edges)
     members = cut(classes.join(blocks.withColumnRenamed("component", "block"), "node").select("digest", "rep", "block"))
     discard(blocks)
     chunks = members.groupBy("block").agg(F.ceil(F.count("digest") / CHUNK).cast("int").alias("chunks"))
@@ -560,7 +581,7 @@ def link_components(
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     shaped = dealt.join(_maybe_in(texts, members, "rep"), "rep").select("digest", "block", "chunks", "chunk", "text")
-    sets = cut(shaped.mapInArrow(shape, "digest string, block long, chunks int, chunk int, set binary"))
+    sets = cut(shaped.mapInArrow(shape, "digest string, block long, chunks int, chunk int, set binary"), TEXT_BYTES)
     discard(members)
 
     def within(table: pa.Table) -> pa.Table:
@@ -569,7 +590,7 @@ def link_components(
         label = _search_chunk(_read(table["set"]), percent)
         return pa.table({"digest": pa.array(names, pa.string()), "component": pa.array([names[i] for i in label], pa.string()), "block": table["block"], "chunks": table["chunks"]})
 
-    found = cut(sets.groupBy("block", "chunk").applyInArrow(within, "digest string, component string, block long, chunks int"))
+    found = cut(sets.groupBy("block", "chunk").applyInArrow(within, "digest string, component string, block long, chunks int"), TEXT_BYTES)
     comps = found.select("digest", "component")
     large = found.filter("chunks > 1")
     if large.take(1):
@@ -585,7 +606,7 @@ def link_components(
                 queries = cut(rest.filter("component <> most").select("digest"))
                 if not queries.take(1):
                     break
-            linked = cut(linked.unionByName(_cross_links(wide, queries, state, percent)))
+            linked = cut(linked.unionByName(_cross_links(wide, queries, state, percent)), TEXT_BYTES)
             joined = components(linked)
             state = cut(
                 large.select("digest")

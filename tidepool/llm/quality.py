@@ -142,7 +142,7 @@ def _scorer(model: NbSvm):
 
 
 def with_scores(base: DataFrame, make, text_col: str, out_col: str) -> DataFrame:
-    """Add a double column computed from slices of the text column."""
+    """Add a double column computed from slices of the text column; a slice goes out when it is scored."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.DoubleType())])
@@ -150,9 +150,8 @@ def with_scores(base: DataFrame, make, text_col: str, out_col: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = np.concatenate([of(part) for part in slices(batch.column(batch.schema.get_field_index(text_col)))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, out_col])
+            for part in slices(batch.column(batch.schema.get_field_index(text_col))):
+                rows = batch.slice(part.first, part.last - part.first)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(of(part), pa.float64())], names=[*batch.schema.names, out_col])
 
     return base.mapInArrow(run, schema)
