@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import decay
-from ..runtime import cut
+from ..runtime import ROWS_A_TASK, cut
 from . import graphs, retrieval
 
 #: Weights of the ranked lists, share of recency, boost of the asking branch.
@@ -31,14 +31,30 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def add(self, docs: DataFrame, segment: int, *, id_col: str = "id", text_col: str = "text", attributes: Sequence[str] = (), deleted: bool = False) -> None:
-        """Add documents (unique ids) as a segment, numbered above all earlier ones. Null texts have no words."""
-        rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in attributes], retrieval.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-        rows = rows.select("id", *attributes, F.lit(segment).alias("segment"), F.lit(deleted).alias("deleted"), F.size("terms").alias("length"), "terms")
-        rows.drop("terms").write.mode("append").parquet(f"{self.folder}/documents")
+    def add(self, docs: DataFrame, segment: int, *, id_col: str = "id", text_col: str = "text", attributes: Sequence[str] | DataFrame = (), deleted: bool = False) -> None:
+        """Add documents (unique ids) as a segment, numbered above all earlier ones. Null texts have no words.
+
+        attributes are columns of docs, or a table of its own with the same id
+        column (others' rows in it are passed over), so that no text goes
+        through the join that makes them.
+        """
+        apart = isinstance(attributes, DataFrame)
+        names = [c for c in attributes.columns if c != id_col] if apart else list(attributes)
+        key, terms = F.col(id_col).alias("id"), retrieval.tokens(F.coalesce(F.col(text_col), F.lit("")))
+        rows = docs.select(key, *([] if apart else [F.col(c) for c in names]), F.size(terms).alias("length"))
+        if apart:
+            rows = rows.join(attributes.select(key, *names), "id", "left")
+        rows = rows.select("id", *names, F.lit(segment).alias("segment"), F.lit(deleted).alias("deleted"), "length")
+        rows.write.mode("append").parquet(f"{self.folder}/documents")
         if not deleted:
-            postings = rows.select("id", "segment", F.explode("terms").alias("term")).groupBy("id", "segment", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-            postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").parquet(f"{self.folder}/postings")
+            size = self.spark.read.parquet(f"{self.folder}/documents").filter(F.col("segment") == segment).agg(F.sum("length")).first()[0] or 0
+            self._counted(docs.select(key, F.explode(terms).alias("term")), segment, size).write.mode("append").parquet(f"{self.folder}/postings")
+
+    def _counted(self, words: DataFrame, segment: int, size: int) -> DataFrame:
+        """(id, segment, term, tf), sorted by term over its parts, of `size` rows (id, term): they are dealt once, to as many tasks as they need, and counted where they lie."""
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROWS_A_TASK))
+        counts = words.repartitionByRange(tasks, "term", "id").groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        return counts.select("id", F.lit(segment).alias("segment"), "term", "tf").sortWithinPartitions("term", "id")
 
     def documents(self) -> DataFrame:
         """One row for each document that is there: its last segment, length and attributes."""

@@ -37,9 +37,9 @@ ASKED = ["licens", "versio", "idio", "thor"]
 @query(f"WITH {MEM}, docs AS (SELECT id, content AS t, scope, valid_from, valid_until FROM memories WHERE id % 23 <> 5), {_bm25('docs', ASKED, ALIVE + chr(32) + 'AND scope <> ' + chr(39) + 'project:web' + chr(39), True)} SELECT id, round(score, 6) AS score FROM scored ORDER BY score DESC, id LIMIT 60")
 def indexed_memories_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories of a moment and of scopes by prefixes of words, from a kept index: some texts are changed and some deleted after it was first written."""
-    m = memories(spark, sf_dir).select("id", "content", "scope", "valid_from", "valid_until")
+    m = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     index = _index(spark)
-    attributes = ["scope", "valid_from", "valid_until"]
+    attributes = memories(spark, sf_dir).select("id", "scope", "valid_from", "valid_until")
     index.add(m.withColumn("content", F.when(F.col("id") % 10 == 3, "an older text of no version").otherwise(F.col("content"))), 1, text_col="content", attributes=attributes)
     index.add(m.filter("id % 10 = 3"), 2, text_col="content", attributes=attributes)
     index.add(m.filter("id % 23 = 5"), 3, text_col="content", attributes=attributes, deleted=True)
