@@ -556,3 +556,64 @@ def test_elements_common_over_small_batches_are_counted(spark):
     rows = pa.Table.from_batches(list(run(iter(batches))))
     docs = [n for n in rows["docs"].to_pylist() if n is not None]
     assert docs == [25, 25] and rows.num_rows == len(texts) + 2  # one in each batch, none of them counted before
+
+
+def _own_megabytes() -> float:
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:")) / 1024
+
+
+def test_workers_give_back_what_they_have_freed(spark):
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([_own_megabytes()])], names=["mb"])
+
+    def busy(batches):
+        for batch in batches:
+            blocks = [bytearray(b"x" * 100_000) for _ in range(3000)]  # below what the allocator maps by itself
+            pin = bytearray(b"y" * 50_000)
+            del blocks
+            yield pa.RecordBatch.from_arrays([pa.array([float(len(pin))])], names=["mb"])
+
+    from tidepool.llm.workers import freed, freed_group
+
+    one = spark.range(1).repartition(1)
+    before = max(r["mb"] for r in one.mapInArrow(held, "mb double").collect())
+    one.mapInArrow(freed(busy), "mb double").collect()
+    assert max(r["mb"] for r in one.mapInArrow(held, "mb double").collect()) < before + 100
+    assert freed_group(lambda table: table.slice(1))(pa.table({"a": [1, 2]})).to_pydict() == {"a": [2]}
+
+
+def test_keys_are_sent_in_small_batches(spark):
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, *_):
+            return self
+
+        def distinct(self):
+            return self
+
+    docs, n = Frame(), 400
+    jaccard.candidates(docs, np.zeros(0, np.uint64), jaccard.Sizes(80, 4000), 1, "text", True, 64)
+    texts = [" ".join(f"w{i}x{j}" for j in range(1500)) for i in range(n)]
+    out = list(docs.run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert len(out) >= 3 and max(b.nbytes for b in out) < 2 * jaccard.SENT  # one batch of all before
+    table = pa.Table.from_batches(out)
+    assert len(set(table["part"].to_pylist())) == table.num_rows == 64
+    assert len(set(np.frombuffer(b"".join(table["y"].to_pylist()), np.int64).tolist())) == n
+
+
+def test_common_elements_by_runs():
+    found, counts = jaccard._often(np.array([1, 1, 1, 2, 3, 3, 9, 9, 9, 9], np.uint64), 3)
+    assert found.tolist() == [1, 9] and counts.tolist() == [3, 4]
+    assert all(len(x) == 0 for x in jaccard._often(np.zeros(0, np.uint64), 1))

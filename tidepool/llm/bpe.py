@@ -20,12 +20,13 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .workers import freed
+
 #: Words (with their encodings) that a worker remembers; then it starts anew.
 KEPT_WORDS = 400_000
 #: Characters from which a single word is merged exactly without a greedy try.
@@ -72,7 +73,7 @@ class ByteBpe:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.decimal = [str(i) for i in range(size)]
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # the ids of a word as int32: a third of a tuple's memory
         self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
         self.whole: dict[int, bool] = {}
 
@@ -169,7 +170,7 @@ class ByteBpe:
     def learn(self, new: list[str]) -> None:
         """Encode words that aren't remembered yet. Very long ones are merged at once: there a cover takes more steps than merging."""
         for w in [w for w in new if len(w) > LONG_WORD]:
-            self.words[w] = tuple(self.merge(w.encode()))
+            self.words[w] = np.array(self.merge(w.encode()), np.int32).tobytes()
         new = [w for w in new if len(w) <= LONG_WORD]
         if not new:
             return
@@ -187,10 +188,10 @@ class ByteBpe:
         wrong = kinds[[not self._reached(t) for t in kinds.tolist()]]
         if len(wrong):
             bad[owner[np.isin(tokens, wrong)]] = True
-        heads = np.searchsorted(owner, np.arange(len(new) + 1)).tolist()
-        listed = tokens.tolist()
+        heads = (4 * np.searchsorted(owner, np.arange(len(new) + 1))).tolist()
+        listed = tokens.astype(np.int32).tobytes()
         for i, w in enumerate(new):
-            self.words[w] = tuple(self.merge(raw[i])) if bad[i] else tuple(listed[heads[i] : heads[i + 1]])
+            self.words[w] = np.array(self.merge(raw[i]), np.int32).tobytes() if bad[i] else listed[heads[i] : heads[i + 1]]
 
     def pieces(self, text: str) -> list[str | int]:
         """The words of a text, with special tokens' ids between them."""
@@ -207,14 +208,14 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
         found = set().union(*cut)
-        special = {w: (w,) for w in found if isinstance(w, int)}
+        special = {w: np.int32(w).tobytes() for w in found if isinstance(w, int)}
         missing = [w for w in found if w not in self.words and w not in special]
         if missing and len(self.words) + len(missing) > KEPT_WORDS:
             self.words = {w: self.words[w] for w in found if w in self.words}
         if missing:
             self.learn(missing)
         known = self.words | special if special else self.words
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of token ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
                     columns.append(pa.array([bpe.decode(x) == t for x, t in zip(ids, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -308,7 +309,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", text_co
                 texts = [bpe.decode(np.asarray(lists[i].values, np.int64)) if lists[i].is_valid and len(lists[i]) else "" for i in range(len(lists))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,4 +338,4 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 )
                 at += len(texts)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(freed(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .cluster import cut
 from .words import Slice, slices
+from .workers import freed
 
 #: (slice) -> (document within the slice, 64-bit term hash), repeats allowed
 Terms = Callable[[Slice], tuple[np.ndarray, np.ndarray]]
@@ -98,7 +99,7 @@ def gather(
 
     sizes = rows.agg(F.count("__label").alias("n"), F.coalesce(F.sum("__label"), F.lit(0)).alias("p")).first()
     n, p = sizes["n"], max(1, sizes["p"])
-    counts = rows.mapInArrow(count, "term long, positive long, total long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
+    counts = rows.mapInArrow(freed(count), "term long, positive long, total long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
     share = min(p / max(1, n), 1 - 1e-9)
     expected = F.col("total") * F.lit(share)
     power = F.pow(F.col("positive") - expected, 2) / (expected * F.lit(1 - share))
@@ -124,7 +125,7 @@ def gather(
                 )
 
     kind = rows.schema["__id"].dataType.simpleString()
-    got = rows.mapInArrow(read, f"id {kind}, label int, terms binary").orderBy("id", "label", "terms").toArrow()
+    got = rows.mapInArrow(freed(read), f"id {kind}, label int, terms binary").orderBy("id", "label", "terms").toArrow()
     at, labels = [np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], np.array(got["label"].to_pylist(), np.int64)
     return Fitting(known, positive, total - positive, at, labels)
 

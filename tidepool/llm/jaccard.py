@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from .cluster import cut, discard, look_up, pieces
 from .graph import components
 from .words import Hasher, distinct, mix, shingles, slices, words
+from .workers import freed, freed_group
 
 #: Share of documents from which an element is too common for segments.
 COMMON = 0.002
@@ -83,7 +84,7 @@ class Sizes:
 
 def _sets(column: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sorted distinct shingle hashes, bounds) of each slice of texts."""
-    for part in slices(column):
+    for part in slices(column, SLICE):
         found = words(part)
         docs, hashes = shingles(Hasher(part.data, lower=lower).spans(found.begin, found.end), found, k)
         kept, bounds = distinct(docs, hashes, len(part.starts))
@@ -123,6 +124,8 @@ def _differing(a: bytes, b: bytes) -> int:
 
 #: Documents whose elements or keys a task counts together, about, and bytes of the batches in which it gets their texts. Only memory and speed depend on them.
 AT_ONCE, TEXT_BYTES = 2500, 4 << 20
+#: Bytes of text that are cut into shingles at a time, and of keys that a task sends at a time.
+SLICE, SENT = 1 << 17, 1 << 20
 
 
 def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,16 +134,26 @@ def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, AT_ONCE)
 
 
+def _often(values: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """What is `least` times or more in an ascending array, and how often."""
+    heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    counts = np.diff(heads, append=len(values))
+    often = counts >= least
+    return values[heads[often]], counts[often]
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool) -> DataFrame:
     """(id, n, digest, sketch) of each document, and (token, docs) of what is common in about AT_ONCE documents."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def common(tokens: list[np.ndarray], n: int, ids: pa.DataType) -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(tokens), return_counts=True)
-        often = counts >= max(5, COMMON * n)
-        m = int(often.sum())
+        every = np.concatenate(tokens)
+        tokens.clear()
+        every.sort()
+        found, counts = _often(every, max(5, COMMON * n))
+        m = len(found)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
+            [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))],
             names=["id", "n", "digest", "sketch", "token", "docs"],
         )
 
@@ -162,11 +175,11 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, lower: bool)
             )
             if held >= AT_ONCE:
                 yield common(tokens, held, ids)
-                tokens, held = [], 0
+                held = 0
         if held:
             yield common(tokens, held, ids)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest string, sketch binary, token long, docs long")
+    return docs.select(id_col, text_col).mapInArrow(freed(run), f"id {kind}, n long, digest string, sketch binary, token long, docs long")
 
 
 def _segment_keys(n: int, docs: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, label: np.ndarray, rules: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,6 +301,11 @@ def _sets_of(nodes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[n
 _BLOB = ["part", "edges", "x", "y", "head"]
 
 
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    p, e, *blobs = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), *[pa.array(x, pa.binary()) for x in blobs]], names=_BLOB)
+
+
 def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_col: str, lower: bool, parts: int) -> DataFrame:
     """(a, b, star): edges a, b of nodes that share a crowded key (star), and members b of the sets a that share a key.
 
@@ -301,7 +319,11 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
     table[(common >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def blobs_of(keys: list[np.ndarray], nodes: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-        key, node, heads, sizes = _groups(np.concatenate(keys), np.concatenate(nodes))
+        every = np.concatenate(keys), np.concatenate(nodes)
+        keys.clear()
+        nodes.clear()
+        key, node, heads, sizes = _groups(*every)
+        del every
         big = sizes > MANY
         edges = _stars(node, heads, sizes, big)
         head = np.repeat(big, sizes)
@@ -312,12 +334,18 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
         order = np.argsort(part, kind="stable")
         key, node, head, part = key[order], node[order], head[order], part[order]
         cuts = np.searchsorted(part, np.arange(parts + 1))
-        rows = [(p, False, key[i:j].tobytes(), node[i:j].tobytes(), head[i:j].tobytes()) for p, i, j in zip(range(parts), cuts[:-1], cuts[1:]) if j > i]
+        rows, size = [], 0
+        for p, i, j in zip(range(parts), cuts[:-1].tolist(), cuts[1:].tolist()):
+            if j > i:
+                rows.append((p, False, key[i:j].tobytes(), node[i:j].tobytes(), head[i:j].tobytes()))
+                size += 17 * (j - i)
+            if size >= SENT:
+                yield _blobs(rows)
+                rows, size = [], 0
         if edges.shape[1]:
             rows.append((n % parts, True, edges[0].tobytes(), edges[1].tobytes(), b""))
         if rows:
-            p, e, *blobs = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.bool_()), *[pa.array(x, pa.binary()) for x in blobs]], names=_BLOB)
+            yield _blobs(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, keys, nodes, held = set(), [], [], 0
@@ -332,7 +360,7 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
             held += batch.num_rows
             if held >= AT_ONCE:
                 yield from blobs_of(keys, nodes, held)
-                seen, keys, nodes, held = set(), [], [], 0
+                seen, held = set(), 0
         if held:
             yield from blobs_of(keys, nodes, held)
 
@@ -346,8 +374,8 @@ def candidates(docs: DataFrame, common: np.ndarray, rules: Sizes, k: int, text_c
         both = np.concatenate([stars, np.stack(_sets_of(node, heads[~tied], sizes[~tied]))], axis=1)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1]), "star": pa.array(np.arange(both.shape[1]) < stars.shape[1])})
 
-    blobs = docs.select(text_col).mapInArrow(send, "part int, edges boolean, x binary, y binary, head binary")
-    return blobs.groupBy("part").applyInArrow(meet, "a long, b long, star boolean").distinct()
+    blobs = docs.select(text_col).mapInArrow(freed(send), "part int, edges boolean, x binary, y binary, head binary")
+    return blobs.groupBy("part").applyInArrow(freed_group(meet), "a long, b long, star boolean").distinct()
 
 
 def _forest(nodes: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -380,7 +408,7 @@ def near_enough(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             edges = [e for a, b in zip(cuts[:-1], cuts[1:]) for e in _forest(node[a:b], n[a:b], sketch[a:b], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return sets.select("m").mapInArrow(run, "a long, b long").unionByName(found.filter("star").select("a", "b"))
+    return sets.select("m").mapInArrow(freed(run), "a long, b long").unionByName(found.filter("star").select("a", "b"))
 
 
 class Lists:
@@ -581,7 +609,7 @@ def link_components(
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     shaped = dealt.join(_maybe_in(texts, members, "rep"), "rep").select("digest", "block", "chunks", "chunk", "text")
-    sets = cut(shaped.mapInArrow(shape, "digest string, block long, chunks int, chunk int, set binary"), TEXT_BYTES)
+    sets = cut(shaped.mapInArrow(freed(shape), "digest string, block long, chunks int, chunk int, set binary"), TEXT_BYTES)
     discard(members)
 
     def within(table: pa.Table) -> pa.Table:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 
 from .features import Fitting, Lookup, gather, labelled_sample, platt
 from .words import Hasher, Slice, mix, slices, words
+from .workers import freed
 
 #: Bounds of the fit: labelled rows used, indicators kept, documents that an indicator must be in.
 SAMPLE_ROWS = 20_000
@@ -154,4 +155,4 @@ def with_scores(base: DataFrame, make, text_col: str, out_col: str) -> DataFrame
                 rows = batch.slice(part.first, part.last - part.first)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(of(part), pa.float64())], names=[*batch.schema.names, out_col])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)

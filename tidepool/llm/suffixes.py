@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .cluster import pieces
 from .words import Hasher, mix, slices
+from .workers import freed, freed_group
 
 LENGTH = 50
 ANCHOR = 20
@@ -500,16 +501,16 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     blobs = lambda names: "part int, " + ", ".join(f"{c} binary" for c in names)
 
-    announced = texts.select("key", "text").mapInArrow(_announce(parts, length, anchor), blobs(["alone", "owner", "apart", "known", "known_owner"]))
-    flags = announced.groupBy("part").applyInArrow(_shared, "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    announced = texts.select("key", "text").mapInArrow(freed(_announce(parts, length, anchor)), blobs(["alone", "owner", "apart", "known", "known_owner"]))
+    flags = announced.groupBy("part").applyInArrow(freed_group(_shared), "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
     dealt = texts.repartition(parts, "key")
     around = dealt.join(flags, "key").select("key", "text", "anchors")
-    outlined = around.mapInArrow(_outline(parts, length, anchor), blobs(["hash", "digest", "owner", "lost", "lost_owner"]))
-    compared = outlined.groupBy("part").applyInArrow(_compare, "key long, lost binary, asked binary")
+    outlined = around.mapInArrow(freed(_outline(parts, length, anchor)), blobs(["hash", "digest", "owner", "lost", "lost_owner"]))
+    compared = outlined.groupBy("part").applyInArrow(freed_group(_compare), "key long, lost binary, asked binary")
     answers = compared.groupBy("key").agg(*[F.collect_list(F.when(F.length(c) > 0, F.col(c))).alias(c) for c in ("lost", "asked")])
     asked = dealt.join(answers.filter(F.size("asked") > 0).select("key", "asked"), "key").select("key", "text", "asked")
-    gathered = asked.mapInArrow(_bytes_of(parts, length, anchor), blobs(_BYTE_COLUMNS[1:]))
-    windows = gathered.groupBy("part").applyInArrow(_resolve(length), "key long, windows binary").groupBy("key").agg(F.collect_list("windows").alias("windows"))
+    gathered = asked.mapInArrow(freed(_bytes_of(parts, length, anchor)), blobs(_BYTE_COLUMNS[1:]))
+    windows = gathered.groupBy("part").applyInArrow(freed_group(_resolve(length)), "key long, windows binary").groupBy("key").agg(F.collect_list("windows").alias("windows"))
     joined = dealt.join(answers.select("key", "lost"), "key", "left").join(windows, "key", "left").select("key", "text", "lost", "windows", *[f"carried_{i}" for i in range(len(carry))])
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
     columns = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
@@ -545,7 +546,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
             out, names = [*out, *batch.columns[4:]], [*names, *carry]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return joined.mapInArrow(cut_out, columns)
+    return joined.mapInArrow(freed(cut_out), columns)
 
 
 def _covered(n: int, context: np.ndarray, begin: np.ndarray, end: np.ndarray, lost: np.ndarray, partly: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = 1 << (n - 1).bit_length()
         for i, base in enumerate((_BASE, _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
