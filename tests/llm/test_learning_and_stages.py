@@ -213,3 +213,16 @@ def test_toxic_rows_go_and_clashing_names_stay(spark, sf, stage_docs):
     assert np.mean([d in kept for d in good]) > 0.95 and np.mean([d in kept for d in bad]) < 0.4
     odd = corpus_pipeline.reject_toxic(spark, stage_docs.drop("__toxicity"), sf)
     assert odd.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "__key", "__words", "__repeat", "component_id", "copies"] and odd.count() <= len(awkward_docs())
+
+
+def test_steps_of_the_suffix_stage_are_written_so_that_their_shuffles_go(spark):
+    from tidepool.llm import suffixes
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in disk.getAllFiles().mkString(",").split(",") if "/shuffle_" in n}
+    before, said = shuffled(), "one passage of well over fifty bytes that two documents have in common, "
+    out = suffixes.remove_repeats(spark.createDataFrame([(1, said + "and an end"), (2, "a start, " + said), (3, None)], "doc_id long, text string"), keep_text=True)
+    assert not shuffled() - before
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in plan
+    assert {r.doc_id: r.kept for r in out.collect()} == {1: said + "and an end", 2: "a start, ", 3: ""}

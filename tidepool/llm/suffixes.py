@@ -21,7 +21,10 @@ a document with a smaller id.
    document keeps its bytes.
 4. What is lost is joined to the documents and cut out.
 
-Texts are shuffled once, by document; all joins read the same exchange.
+What each step finds is written as a table, so that its shuffle files are
+deleted before the next step begins; texts are shuffled in each of the last
+three, by document. The tables of lost contexts and ranges are read with the
+result and stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .cluster import pieces
+from .cluster import cut, discard, pieces
 from .words import Hasher, mix, slices
 from .workers import freed, freed_group
 
@@ -503,14 +506,18 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
 
     announced = texts.select("key", "text").mapInArrow(freed(_announce(parts, length, anchor)), blobs(["alone", "owner", "apart", "known", "known_owner"]))
     flags = announced.groupBy("part").applyInArrow(freed_group(_shared), "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    flags = cut(flags)
     dealt = texts.repartition(parts, "key")
     around = dealt.join(flags, "key").select("key", "text", "anchors")
     outlined = around.mapInArrow(freed(_outline(parts, length, anchor)), blobs(["hash", "digest", "owner", "lost", "lost_owner"]))
     compared = outlined.groupBy("part").applyInArrow(freed_group(_compare), "key long, lost binary, asked binary")
     answers = compared.groupBy("key").agg(*[F.collect_list(F.when(F.length(c) > 0, F.col(c))).alias(c) for c in ("lost", "asked")])
+    answers = cut(answers)
+    discard(flags)
     asked = dealt.join(answers.filter(F.size("asked") > 0).select("key", "asked"), "key").select("key", "text", "asked")
     gathered = asked.mapInArrow(freed(_bytes_of(parts, length, anchor)), blobs(_BYTE_COLUMNS[1:]))
     windows = gathered.groupBy("part").applyInArrow(freed_group(_resolve(length)), "key long, windows binary").groupBy("key").agg(F.collect_list("windows").alias("windows"))
+    windows = cut(windows)
     joined = dealt.join(answers.select("key", "lost"), "key", "left").join(windows, "key", "left").select("key", "text", "lost", "windows", *[f"carried_{i}" for i in range(len(carry))])
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
     columns = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
